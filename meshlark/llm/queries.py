@@ -20,7 +20,28 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary() -> str:
+    """The vocabulary of the registered queries, where the installed package of public tokenizers keeps it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_rank_merging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlark.llm.token_counts import token_counts
+
+    return token_counts(documents(spark, sf_dir), vocabulary(), limit=1024)
+
+
+def op5_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlark.llm.packing import pack
+
+    return pack(documents(spark, sf_dir), vocabulary(), capacity=2048, end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_rank_merging": op4_rank_merging,
+    "op5_differencing": op5_differencing,
     "op8_rule_ledger": op8_rule_ledger,
 }
 ORACLE_SQL: dict[str, str] = {}
