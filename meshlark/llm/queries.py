@@ -39,9 +39,24 @@ def op5_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary(), capacity=2048, end_id=1)
 
 
+def op6_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlark.llm.mixing import mix
+
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op7_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlark.llm.ring import shard
+
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return shard(documents(spark, sf_dir), shards=16).select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_rank_merging": op4_rank_merging,
     "op5_differencing": op5_differencing,
+    "op6_entropy_balancing": op6_entropy_balancing,
+    "op7_bounded_ring": op7_bounded_ring,
     "op8_rule_ledger": op8_rule_ledger,
 }
 ORACLE_SQL: dict[str, str] = {}
