@@ -52,11 +52,18 @@ def op7_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir), shards=16).select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
+def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlark.llm.simhash_trie import classes
+
+    return classes(documents(spark, sf_dir), words=3, budget=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_rank_merging": op4_rank_merging,
     "op5_differencing": op5_differencing,
     "op6_entropy_balancing": op6_entropy_balancing,
     "op7_bounded_ring": op7_bounded_ring,
     "op8_rule_ledger": op8_rule_ledger,
+    "op9_simhash_trie": op9_simhash_trie,
 }
 ORACLE_SQL: dict[str, str] = {}
