@@ -201,7 +201,7 @@ def _task(budget: int, most_bits: int | None, words: int):
 
 def _children(nodes: DataFrame, budget: int) -> DataFrame:
     """The pairs of children, four levels down, of nodes that are too large for a task."""
-    child = F.shiftrightunsigned(F.shiftleft("value", F.col("depth")), 60).cast("int")
+    child = F.expr("CAST(shiftrightunsigned(shiftleft(value, depth), 60) AS INT)")
     other = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("other")
     pairs = nodes.withColumn("child", child).select("*", other).withColumn("more", F.col("errors") + F.bit_count(F.col("child").bitwiseXOR(F.col("other"))))
     pairs = pairs.filter(F.col("more") <= budget)
