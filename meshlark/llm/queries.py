@@ -58,6 +58,12 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(documents(spark, sf_dir), words=3, budget=3)
 
 
+def op10_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlark.llm.toxicity import toxicity
+
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_rank_merging": op4_rank_merging,
     "op5_differencing": op5_differencing,
@@ -65,5 +71,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bounded_ring": op7_bounded_ring,
     "op8_rule_ledger": op8_rule_ledger,
     "op9_simhash_trie": op9_simhash_trie,
+    "op10_nearest_examples": op10_nearest_examples,
 }
 ORACLE_SQL: dict[str, str] = {}
