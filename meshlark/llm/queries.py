@@ -39,6 +39,12 @@ def op5_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary(), capacity=2048, end_id=1)
 
 
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlark.llm.imatch import edited_fingerprints
+
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
 def op6_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlark.llm.mixing import mix
 
@@ -65,6 +71,7 @@ def op10_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_imatch": op1_imatch,
     "op4_rank_merging": op4_rank_merging,
     "op5_differencing": op5_differencing,
     "op6_entropy_balancing": op6_entropy_balancing,
