@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import regex
+import tiktoken
 
 #: Fixed value: how byte-level vocabularies of this family split text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -52,32 +53,56 @@ class ByteBpe:
         left, right = (np.array([vocab[m[k]] for m in merges], np.int64) for k in (0, 1))
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
         keys = left * self.size + right
-        order = np.argsort(keys, kind="stable")
-        self.pairs, self.ranks, self.made = keys[order], order.astype(np.int32), made[order]
+        self.slots = 1 << max(4, (8 * len(keys)).bit_length())
+        self.pairs, self.ranks, self.made = self._table(keys, made)
         self.split = regex.compile(SPLIT)
+        self._vocab = vocab
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(65 - self.slots.bit_length())).astype(np.int64)
+
+    def _table(self, keys: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An open hash table of the pairs with linear probing, as arrays."""
+        pairs = np.full(self.slots, -1, np.int64)
+        ranks, result = np.full(self.slots, _NONE, np.int32), np.zeros(self.slots, np.int64)
+        for rank, slot in enumerate(self._slot(keys).tolist()):
+            while pairs[slot] >= 0:
+                slot = (slot + 1) % self.slots
+            pairs[slot], ranks[slot], result[slot] = keys[rank], rank, made[rank]
+        return pairs, ranks, result
+
+    def _look_up(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each pair, or an empty one."""
+        slot = self._slot(keys)
+        open_ = np.flatnonzero((self.pairs[slot] != keys) & (self.pairs[slot] >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) % self.slots
+            there = self.pairs[slot[open_]]
+            open_ = open_[(there != keys[open_]) & (there >= 0)]
+        return slot
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and how many each word has."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         symbols = self.bytes_of[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), lengths)
-        counts = np.zeros(len(words), np.int64)
+        n = len(symbols)
+        last = np.ones(n, bool)  # the last symbol of a sequence starts no pair
+        last[:-1] = owner[1:] != owner[:-1]
+        slot = np.zeros(n, np.int64)
+        slot[:-1] = self._look_up(symbols[:-1] * self.size + symbols[1:])
+        rank = np.where(last, _NONE, self.ranks[slot])
         done_ids, done_owner = [], []
         while len(symbols):
-            key = symbols[:-1] * self.size + symbols[1:]
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            found = (self.pairs[at] == key) & (owner[:-1] == owner[1:])
-            rank = np.full(len(symbols), _NONE, np.int32)
-            rank[:-1][found] = self.ranks[at[found]]
-            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            starts = np.flatnonzero(np.r_[True, last[:-1]])
             lowest = np.minimum.reduceat(rank, starts)
-            width = np.diff(np.r_[starts, len(symbols)])
-            live = np.repeat(lowest != _NONE, width)
+            best = np.repeat(lowest, np.diff(np.r_[starts, len(symbols)]))
+            live = best != _NONE
             if not live.all():
                 rest = ~live
                 done_ids.append(symbols[rest])
                 done_owner.append(owner[rest])
-            best = np.repeat(lowest, width)
             hit = np.flatnonzero((rank == best) & live)
             if not len(hit):
                 break
@@ -85,17 +110,32 @@ class ByteBpe:
             new_run = np.r_[True, hit[1:] != hit[:-1] + 1]
             run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(hit)), 0))
             hit = hit[(np.arange(len(hit)) - run_start) % 2 == 0]
-            symbols = symbols.copy()
-            symbols[hit] = self.made[at[hit]]
+            symbols[hit] = self.made[slot[hit]]
+            last[hit] = last[hit + 1]
             keep = live
             keep[hit + 1] = False
-            symbols, owner = symbols[keep], owner[keep]
+            place = np.cumsum(keep) - 1
+            symbols, owner, last, rank, slot = symbols[keep], owner[keep], last[keep], rank[keep], slot[keep]
+            hit = place[hit]
+            before = hit[hit > 0] - 1
+            changed = np.concatenate([hit, before[~last[before]]])
+            open_ = changed[~last[changed]]
+            slot[open_] = self._look_up(symbols[open_] * self.size + symbols[open_ + 1])
+            rank[changed] = np.where(last[changed], _NONE, self.ranks[slot[changed]])
         if not done_ids:
-            return symbols, counts
+            return symbols, np.zeros(len(words), np.int64)
         ids, of = np.concatenate(done_ids), np.concatenate(done_owner)
         order = np.argsort(of, kind="stable")
         return ids[order], np.bincount(of, minlength=len(words))
 
+    def ranks_by_bytes(self) -> dict[bytes, int]:
+        """Token bytes to ids, for a merger that takes ids as ranks; merges must be numbered in their order."""
+        byte_of = byte_alphabet()
+        made = self.made[self.pairs >= 0][np.argsort(self.ranks[self.pairs >= 0])]
+        if not (np.diff(made) > 0).all():
+            raise ValueError("ids of merges don't follow their ranks")
+        return {bytes(byte_of[c] for c in token): i for token, i in self._vocab.items() if token not in self.special}
+
     def parts(self, text: str) -> Iterable[tuple[str, int | None]]:
         """The text between special strings, and after each such part the id of the special string that follows it."""
         if self.special_at is None or not self.special_at.search(text):
@@ -109,66 +149,117 @@ class ByteBpe:
 
 
 class Cache(dict):
-    """Pre-token to what `make` gives for it; make takes many at once."""
+    """Texts to what `make` gives for them; make takes many at once. Two generations bound it: the older one goes when the
+    younger is full, and what is still in use moves over."""
 
     def __init__(self, make: Callable[[list[str]], Iterable]) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def learn(self, words: set[str]) -> None:
         if len(self) > KEEP:
+            self.old = dict(self)
             self.clear()
-        new = [w for w in words if w not in self]
-        for k in range(0, len(new), 50_000):
-            some = new[k : k + 50_000]
+        new = words.difference(self)
+        known = new.intersection(self.old)
+        self.update((w, self.old[w]) for w in known)
+        rest = list(new - known)
+        for k in range(0, len(rest), 20_000):
+            some = rest[k : k + 20_000]
             self.update(zip(some, self.make(some)))
 
 
-@functools.cache
-def vocabulary(path: str) -> ByteBpe:
-    return ByteBpe(path)
+class Reader:
+    """What each pre-token is worth (`make`), added up over whole texts by `total`.
+
+    A space between two characters that aren't white space always starts a pre-token, so most texts are split at single
+    spaces, which is quick, and each piece is looked up with the space before it; the pattern reads pieces that are new.
+    """
+
+    def __init__(self, bpe: ByteBpe, make: Callable[[list[str]], Iterable], total: Callable[[Iterable], object], special: dict[int, object]) -> None:
+        self.bpe, self.total, self.special = bpe, total, special
+        self.words, self.pieces = Cache(make), Cache(self._of_pieces)
+
+    def _totals(self, found: list) -> list:
+        self.words.learn({w for words in found for w in words})
+        get = self.words.__getitem__
+        return [get(words[0]) if len(words) == 1 else self.total(map(get, words)) for words in found]
+
+    def _of_pieces(self, pieces: list[str]) -> list:
+        """Pieces with the space before them; letters alone, or letters and one mark, need no pattern."""
+        split = self.bpe.split.findall
+        return self._totals([(" " + p,) if p.isalpha() else (" " + p[:-1], p[-1]) if p[-1:] in _MARKS and p[:-1].isalpha() else split(" " + p) for p in pieces])
+
+    def read(self, texts: list[str]) -> list:
+        rows, slow, holes = [], [], []
+        get = self.pieces.get
+        for t in texts:
+            parts = []
+            for part, special in self.bpe.parts(t):
+                pieces = [part] if _RUN.search(part) else part.split(" ")
+                slow.append(pieces[0])
+                values = list(map(get, pieces))
+                values[0] = ()
+                if None in values:
+                    holes += [(values, k, pieces[k]) for k, v in enumerate(values) if v is None]
+                parts.append((values, special))
+            rows.append(parts)
+        self.pieces.learn({p for _, _, p in holes})
+        pieces = self.pieces
+        for values, k, p in holes:
+            values[k] = pieces[p]
+        firsts = iter(self._totals([self.bpe.split.findall(p) for p in slow]))
+        out = []
+        for parts in rows:
+            for values, special in parts:
+                values[0] = next(firsts)
+                if special is not None:
+                    values.append(self.special[special])
+            out.append(self.total(parts[0][0] if len(parts) == 1 else [x for values, _ in parts for x in values]))
+        return out
+
+
+#: Marks that are a pre-token of their own after letters.
+_MARKS = frozenset(",.;:!?")
+_RUN = regex.compile(r"\s ")
 
 
 @functools.cache
-def count_cache(path: str) -> Cache:
-    bpe = vocabulary(path)
-    return Cache(lambda words: bpe.merge([w.encode() for w in words])[1].tolist())
+def vocabulary(path: str) -> ByteBpe:
+    return ByteBpe(path)
 
 
 @functools.cache
-def id_cache(path: str) -> Cache:
-    """Values are the ids as little-endian bytes, two an id where the vocabulary allows it, else four."""
+def _counter(path: str) -> Reader:
     bpe = vocabulary(path)
-    kind = id_type(path)
-
-    def make(words: list[str]) -> Iterable[bytes]:
-        ids, counts = bpe.merge([w.encode() for w in words])
-        flat, ends = ids.astype(kind).tobytes(), np.cumsum(counts) * kind.itemsize
-        return (flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist()))
-
-    return Cache(make)
+    return Reader(bpe, lambda words: bpe.merge([w.encode() for w in words])[1].tolist(), sum, dict.fromkeys(bpe.special.values(), 1))
 
 
 def id_type(path: str) -> np.dtype:
     return np.dtype("<u2" if vocabulary(path).size <= 1 << 16 else "<u4")
 
 
-def _prepared(path: str, texts: list[str], cache: Cache) -> list[list[tuple[list[str], int | None]]]:
-    bpe = vocabulary(path)
-    out = [[(bpe.split.findall(part), special) for part, special in bpe.parts(t)] for t in texts]
-    cache.learn({w for parts in out for words, _ in parts for w in words})
-    return out
+def count_tokens(path: str, texts: list[str]) -> list[int]:
+    return _counter(path).read(texts)
 
 
-def count_tokens(path: str, texts: list[str]) -> list[int]:
-    cache = count_cache(path)
-    get = cache.__getitem__
-    return [sum(sum(map(get, words)) + (special is not None) for words, special in parts) for parts in _prepared(path, texts, cache)]
+@functools.cache
+def _encoder(path: str) -> tiktoken.Encoding:
+    return tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=vocabulary(path).ranks_by_bytes(), special_tokens={})
 
 
 def encode(path: str, texts: list[str]) -> list[bytes]:
-    """The ids of each text, as bytes of id_type(path)."""
-    cache, kind = id_cache(path), id_type(path)
-    get = cache.__getitem__
-    ids = {i: np.array([i], kind).tobytes() for i in vocabulary(path).special.values()} | {None: b""}
-    return [b"".join(b"".join(map(get, words)) + ids[special] for words, special in parts) for parts in _prepared(path, texts, cache)]
+    """The ids of each text, as bytes of id_type(path).
+
+    Where ids are wanted and not counts, the ranks go to tiktoken's merger, which gives the same ids in less time.
+    """
+    bpe, kind, ordinary = vocabulary(path), id_type(path), _encoder(path).encode_ordinary
+    out = []
+    for t in texts:
+        ids: list[int] = []
+        for part, special in bpe.parts(t):
+            ids += ordinary(part)
+            if special is not None:
+                ids.append(special)
+        out.append(np.array(ids, kind).tobytes())
+    return out
