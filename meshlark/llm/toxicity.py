@@ -24,8 +24,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from meshlark.llm.common import written
 
 #: Bounds on what is collected and sent to every executor.
-SAMPLE, FEATURES, EXAMPLES = 10_000, 512, 2048
-LEAST_Z, LEAST_DOCS = 6.0, 5
+SAMPLE, FEATURES, EXAMPLES = 10_000, 128, 2048
+#: A feature's presence in the two classes must differ by this many standard errors and by this factor: words that only
+#: come with longer texts differ by little.
+LEAST_Z, LEAST_LIFT, LEAST_DOCS = 6.0, 3.0, 5
 NEIGHBOURS, BLOCK, PRIOR = 15, 64, 1.0
 _TERM = re.compile(r"[^\W\d_]+")
 
@@ -73,8 +75,10 @@ def features(counts: DataFrame, n_clean: int, n_toxic: int) -> list[str]:
         return []
     share = (F.col("clean") + F.col("toxic")) / F.lit(float(n_clean + n_toxic))
     spread = F.sqrt(share * (1 - share) * F.lit(1 / n_clean + 1 / n_toxic))
-    z = F.abs(F.col("toxic") / F.lit(float(n_toxic)) - F.col("clean") / F.lit(float(n_clean))) / spread
-    rated = counts.filter((F.col("clean") + F.col("toxic") >= LEAST_DOCS) & (share < 1)).withColumn("z", z)
+    toxic, clean = F.col("toxic") / F.lit(float(n_toxic)), F.col("clean") / F.lit(float(n_clean))
+    z = F.abs(toxic - clean) / spread
+    far = F.greatest(toxic, clean) >= LEAST_LIFT * F.least(toxic, clean)
+    rated = counts.filter((F.col("clean") + F.col("toxic") >= LEAST_DOCS) & (share < 1) & far).withColumn("z", z)
     return [r["term"] for r in rated.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(FEATURES).collect()]
 
 
