@@ -20,6 +20,14 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlark.llm.line_chunks import dedup
+
+    kept = dedup(documents(spark, sf_dir))
+    n_kept = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("kept_bytes")
+    return kept.select("doc_id", "n_lines", "n_removed", n_kept, F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def vocabulary() -> str:
     """The vocabulary of the registered queries, where the installed package of public tokenizers keeps it."""
     import public_tokenizers
@@ -72,6 +80,7 @@ def op10_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_imatch": op1_imatch,
+    "op3_line_chunks": op3_line_chunks,
     "op4_rank_merging": op4_rank_merging,
     "op5_differencing": op5_differencing,
     "op6_entropy_balancing": op6_entropy_balancing,
