@@ -20,6 +20,13 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshlark.llm.run_index import remove_repeats
+
+    kept = remove_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshlark.llm.line_chunks import dedup
 
@@ -80,6 +87,7 @@ def op10_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_imatch": op1_imatch,
+    "op2_run_index": op2_run_index,
     "op3_line_chunks": op3_line_chunks,
     "op4_rank_merging": op4_rank_merging,
     "op5_differencing": op5_differencing,
