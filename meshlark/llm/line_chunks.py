@@ -80,5 +80,6 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, with `text` as it is kept."""
-    return dedup(docs).select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    """The rows of `docs`, all columns, with `text` as it is kept; n_chars, where there is one, follows a changed text."""
+    own = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("text").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("row.n_chars")).alias("n_chars") if "n_chars" in docs.columns else None}
+    return dedup(docs).select(*(own[c] if c in own else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
