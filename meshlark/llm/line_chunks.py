@@ -15,9 +15,9 @@ chunks; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from meshlark.llm.common import WORD, text_of, written
+from meshlark.llm.common import WORD, written
 
 #: Lines under the rolling hash, and one in how many of its values marks a line. A chunk ends where a run of marks begins,
 #: so that it has two lines at least, but for the end of a text, and four on average.
@@ -45,41 +45,56 @@ def chunks(rows: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """key, doc_id and text; the key tells rows apart that share a doc_id."""
-    return docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), text_of().alias("text"))
+    """key and text; the key is the doc_id and a hash that tells rows apart that share it."""
+    return docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """key, starts: the numbers of the removed chunks of a row; only rows that lose one."""
-    rows = keyed(docs).filter(F.instr("text", "\n") > 0)
-    each = chunks(rows).select("key", F.posexplode_outer("chunks").alias("start", "c"))
+def repeats(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """key, starts: the numbers of the removed chunks of a row; only rows that lose one. rows: keyed(docs).
+
+    Texts meet their wanted chunks by key in a merge join, as they do in dedup_texts(): one shuffle of `rows` serves both.
+    """
+    each = chunks(keyed(docs).filter(F.instr("text", "\n") > 0)).select("key", F.posexplode_outer("chunks").alias("start", "c"))
     several = each.filter((F.col("c.n_lines") > 1) & F.col("c.body").rlike(WORD))
-    places = several.select("key", "start", F.xxhash64("c.body").alias("hash"), F.octet_length("c.body").alias("size"))
-    places = written(places)
+    places = written(several.select("key", "start", F.xxhash64("c.body").alias("hash"), F.octet_length("c.body").alias("size")))
     first = places.groupBy("hash", "size").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start")).alias("first")).filter("n > 1").drop("n")
     wanted = written(places.join(first, ["hash", "size"]).select("key", "start", "first"))
-    by_row = wanted.groupBy("key").agg(F.collect_set("start").alias("wanted"))
-    found = chunks(rows.join(by_row.select("key"), "key", "left_semi")).select("key", F.posexplode_outer("chunks").alias("start", "c")).select("key", "start", "c.body")
-    bodies = written(found.join(wanted, ["key", "start"]).select("key", "start", "first", F.col("body")).distinct())
-    origin = bodies.filter(F.struct("key", "start") == F.col("first")).select("first", F.col("body").alias("original"))
-    same = bodies.filter(F.struct("key", "start") != F.col("first")).join(origin, "first").filter("body = original")
+    by_row = wanted.groupBy("key").agg(F.collect_set(F.struct("start", "first")).alias("wanted"))
+    found = chunks(rows.join(by_row.hint("merge"), "key")).select("key", F.explode("wanted").alias("w"), "chunks")
+    bodies = found.select("key", "w.start", "w.first", F.get("chunks", F.col("w.start"))["body"].alias("body"))
+    origin = bodies.filter(F.struct("key", "start") == F.col("first")).select("first", F.col("body").alias("original")).distinct()
+    same = bodies.filter(F.struct("key", "start") != F.col("first")).join(origin.hint("merge"), "first").filter("body = original")
     return same.groupBy("key").agg(F.array_sort(F.collect_set("start")).alias("starts"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, text as it is kept, n_lines and n_removed (lines), and `row`: the columns of docs as a struct."""
-    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), F.struct(*docs.columns).alias("row"))
-    joined = rows.join(repeats(docs), "key", "left").withColumn("text", F.when(F.col("starts").isNotNull(), F.col("row.text")))
+def _cut(joined: DataFrame, whole: Column) -> tuple[DataFrame, Column, Column, Column]:
+    """joined(text, starts) with its chunks; the kept text, the lines of `whole`, and the lines removed."""
     cut = chunks(joined)
     kept = F.filter("chunks", lambda _, i: ~F.array_contains("starts", i))
     lost = F.filter("chunks", lambda _, i: F.array_contains("starts", i))
-    text = F.coalesce(F.array_join(F.transform(kept, lambda c: c["body"]), "\n"), F.col("row.text"))
-    n_lines = F.coalesce(F.length("row.text") - F.length(F.replace(F.col("row.text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0))
-    n_removed = F.coalesce(F.aggregate(lost, F.lit(0), lambda n, c: n + c["n_lines"]), F.lit(0))
-    return cut.select(F.col("row.doc_id").alias("doc_id"), text.alias("text"), n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"), "row")
+    text = F.coalesce(F.array_join(F.transform(kept, lambda c: c["body"]), "\n"), whole)
+    n_lines = F.coalesce(F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    n_removed = F.coalesce(F.aggregate(lost, F.lit(0), lambda n, c: n + c["n_lines"]), F.lit(0)).cast("long")
+    return cut, text, n_lines, n_removed
+
+
+def dedup_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text as it is kept, n_lines and n_removed (lines)."""
+    rows = keyed(docs)
+    joined = rows.join(repeats(docs, rows).hint("merge"), "key", "left")
+    joined = joined.select("key", F.col("text").alias("whole"), "starts", F.when(F.col("starts").isNotNull(), F.col("text")).alias("text"))
+    cut, text, n_lines, n_removed = _cut(joined, F.col("whole"))
+    return cut.select("key.doc_id", text.alias("text"), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, with `text` as it is kept; n_chars, where there is one, follows a changed text."""
-    own = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("text").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("row.n_chars")).alias("n_chars") if "n_chars" in docs.columns else None}
-    return dedup(docs).select(*(own[c] if c in own else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), F.struct(*docs.columns).alias("row"))
+    joined = rows.join(repeats(docs, keyed(docs)).hint("merge"), "key", "left").withColumn("text", F.when(F.col("starts").isNotNull(), F.col("row.text")))
+    cut, text, _, n_removed = _cut(joined, F.col("row.text"))
+    done = cut.select("row", text.alias("text"), n_removed.alias("n_removed"))
+    own = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        n_chars = F.char_length("text").cast(dict(docs.dtypes)["n_chars"])
+        own["n_chars"] = F.when(F.col("n_removed") > 0, n_chars).otherwise(F.col("row.n_chars")).alias("n_chars")
+    return done.select(*(own[c] if c in own else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

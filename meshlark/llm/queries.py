@@ -28,9 +28,9 @@ def op2_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from meshlark.llm.line_chunks import dedup
+    from meshlark.llm.line_chunks import dedup_texts
 
-    kept = dedup(documents(spark, sf_dir))
+    kept = dedup_texts(documents(spark, sf_dir))
     n_kept = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("kept_bytes")
     return kept.select("doc_id", "n_lines", "n_removed", n_kept, F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
