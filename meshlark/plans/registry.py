@@ -1,6 +1,5 @@
 """The registered queries of the grid engine and their DuckDB SQL."""
 
-from __future__ import annotations
+from meshlark.plans.queries import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
