@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from meshlark.errors import CompactSetError
 from meshlark.functions import codec, topology
-from meshlark.functions.constants import ALPHABETS, MAX_LEVEL, STEPS, check_level
+from meshlark.functions.constants import ALPHABETS, COUNTS, MAX_LEVEL, STEPS, check_level
 
 
 def covered(cells: DataFrame, rows: DataFrame, gid: str = "gid") -> DataFrame:
@@ -18,22 +18,18 @@ def covered(cells: DataFrame, rows: DataFrame, gid: str = "gid") -> DataFrame:
 def canonicalize(cells: DataFrame, gid: str = "gid") -> DataFrame:
     """gid, level: distinct valid cells, without those inside others, complete child groups replaced by their parent.
 
-    Promotion goes from the finest level up, one aggregate a level. A level's groups depend only on the cells of that level,
-    so cells of coarser levels wait unread; the plan has a fixed number of steps and needs no loop over data.
+    Without cells inside others, areas add up: a cell is complete if the cells at or below it have its whole area, counted
+    in cells of the last level. One aggregate over all ancestors finds every complete cell of every level, and those whose
+    parent isn't complete are the result; there is no loop over levels.
     """
     valid = cells.select(F.col(gid).alias("gid")).filter(codec.gid_level("gid").isNotNull()).distinct()
-    kept = valid.join(covered(valid, valid), "gid", "left_anti").withColumn("level", F.length("gid"))
-    present = [r["level"] for r in kept.select("level").distinct().collect()]  # at most fifteen
-    done = None
-    carried = kept.filter(F.col("level") == max(present, default=0))
-    for level in range(max(present, default=0), 0, -1):
-        parent = F.substring("gid", 1, level - 1)
-        full = carried.groupBy(parent.alias("_p")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == STEPS[level - 1] ** 2).select("_p")
-        here = carried.withColumn("_p", parent).join(full, "_p", "left_anti").select("gid", "level")
-        done = here if done is None else done.unionByName(here)
-        up = full.select(F.col("_p").alias("gid"), F.lit(level - 1).alias("level"))
-        carried = up.unionByName(kept.filter(F.col("level") == level - 1)) if level - 1 in present else up
-    return carried if done is None else done.unionByName(carried)
+    kept = valid.join(covered(valid, valid), "gid", "left_anti")
+    area = F.element_at(F.array(*(F.lit((COUNTS[MAX_LEVEL] // c) ** 2).cast("long") for c in COUNTS)), F.length("gid") + 1)
+    up = kept.select(area.alias("area"), F.explode(topology.ancestors("gid", own=True)).alias("gid"))
+    complete = up.groupBy("gid").agg(F.sum("area").alias("covered")).filter(F.col("covered") == area).select("gid")
+    below = complete.select(F.col("gid").alias("_p"))
+    inside = complete.withColumn("_p", topology.parent_gid("gid"))
+    return inside.join(below, "_p", "left_anti").select("gid", F.length("gid").alias("level"))
 
 
 def violations(rows: DataFrame) -> dict[str, int]:
