@@ -97,4 +97,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_trie": op9_simhash_trie,
     "op10_nearest_examples": op10_nearest_examples,
 }
-ORACLE_SQL: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+#: SQL can express the ledger of rules; the other queries need hash functions, iterations or merges that it lacks, or are
+#: too slow in it over whole tables, and are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op8_rule_ledger": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
+windows AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 1))) AS i FROM d)),
+twice AS (SELECT doc_id, w FROM windows GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM windows JOIN twice USING (doc_id, w)) GROUP BY 1),
+m AS (SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines,
+  CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, len(list_filter(words, lambda x: upper(x) = x AND lower(x) <> x)) AS n_upper, len(list_distinct(words)) AS n_distinct
+  FROM d LEFT JOIN covered USING (doc_id)),
+r AS (SELECT *, len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines FROM m),
+f AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 30 * n_words)::INT + 8 * (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines)::INT
+  + 16 * (100 * n_upper > 60 * n_words)::INT + 32 * (word_chars < 2 * n_words)::INT + 64 * (word_chars > 20 * n_words)::INT + 128 * (n_words >= 50 AND 100 * n_distinct < 10 * least(n_words, 1000))::INT AS BIGINT) AS failed_rules FROM r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_rules & 3 <> 0 AS base_failed, failed_rules = 0 AS kept, failed_rules FROM f""",
+}
