@@ -38,16 +38,50 @@ def cell_of(x_m: Column | str, y_m: Column | str, level: int, mode: str = "null"
     return guarded(both, x, mode, "coordinate is outside the root square"), guarded(both, y, mode, "coordinate is outside the root square")
 
 
-def _codes(x: Column, y: Column, level: int) -> list[Column]:
-    """The child code of each level, coarse to fine: row * step + column."""
-    out = []
-    for i, step in enumerate(STEPS[:level]):
-        below = COUNTS[level] // COUNTS[i + 1]
-        digit = lambda v: F.floor(v / below).cast("long") % step if below > 1 else v % step  # noqa: B023, E731
-        out.append(digit(y) * step + digit(x))
+def _div(a: Column, b: int) -> Column:
+    return a if b == 1 else F.call_function("div", a, F.lit(b).cast("long"))
+
+
+def child_codes(x: Column | str, y: Column | str, level: int) -> list[Column]:
+    """Places of a cell in its ancestors, two levels (10 x 10 children) at a time and a last single level (5 x 5).
+
+    Half as many steps as levels keep the generated code small enough for the JVM to compile.
+    """
+    x, y, out = _col(x), _col(y), []
+    for i in range(0, level - 1, 2):
+        below = COUNTS[level] // COUNTS[i + 2]
+        out.append((_div(y, below) % 10 * 10 + _div(x, below) % 10).cast("int"))
+    if level % 2:
+        out.append((y % 5 * 5 + x % 5).cast("int"))
     return out
 
 
+#: For each place: its two letters and its seven bits; and a single level's letter.
+_PAIRS = [(v // 20 * 5 + v % 10 // 2, v // 10 % 2 * 2 + v % 2) for v in range(100)]
+_PAIR_LETTERS = [ALPHABETS[5][a] + ALPHABETS[2][b] for a, b in _PAIRS]
+_PAIR_BITS = [a << 2 | b for a, b in _PAIRS]
+
+
+def _table(values: list) -> Column:
+    return F.array(*(F.lit(v) for v in values))
+
+
+def gid_from_codes(codes: list[Column], level: int) -> Column:
+    pairs, single = _table(_PAIR_LETTERS), _table(list(ALPHABETS[5]))
+    return F.concat(*(F.get(pairs if i < level // 2 else single, c) for i, c in enumerate(codes))) if codes else F.lit("")
+
+
+def packed_from_codes(domain_id: int | Column, codes: list[Column], level: int) -> Column:
+    pairs, left = _table(_PAIR_BITS), path_width(level)
+    domain = F.lit(domain_id << 54 | level << 50).cast("long") if isinstance(domain_id, int) else F.shiftleft(domain_id.cast("long"), 54).bitwiseOR(F.lit(level << 50))
+    packed = domain
+    for i, c in enumerate(codes):
+        left -= 7 if i < level // 2 else 5
+        bits = F.get(pairs, c) if i < level // 2 else c
+        packed = packed.bitwiseOR(F.shiftleft(bits.cast("long"), left + 1))
+    return packed
+
+
 def indices_ok(x: Column, y: Column, level: int) -> Column:
     n = cell_count(level)
     return x.between(0, n - 1) & y.between(0, n - 1)
@@ -56,21 +90,15 @@ def indices_ok(x: Column, y: Column, level: int) -> Column:
 def gid_of(x: Column | str, y: Column | str, level: int) -> Column:
     """One character a level; the root is the empty string."""
     x, y = _col(x), _col(y)
-    if check_level(level) == 0:
-        return F.when(indices_ok(x, y, 0), F.lit(""))
-    chars = [F.lit(ALPHABETS[s]).substr((c + 1).cast("int"), F.lit(1)) for s, c in zip(STEPS, _codes(x, y, level))]
-    return F.when(indices_ok(x, y, level), F.concat(*chars))
+    check_level(level)
+    return F.when(indices_ok(x, y, level), gid_from_codes(child_codes(x, y, level), level))
 
 
 def pack(domain_id: int | Column, x: Column | str, y: Column | str, level: int) -> Column:
     """domain in 9 bits, level in 4, path in 49, and a reserved bit 0."""
     x, y = _col(x), _col(y)
-    domain = F.lit(domain_id).cast("long") if isinstance(domain_id, int) else domain_id.cast("long")
-    path = F.lit(0).cast("long")
-    for bits, code in zip(CODE_BITS, _codes(x, y, level)):
-        path = F.shiftleft(path, bits).bitwiseOR(code)
-    packed = F.shiftleft(domain, 54).bitwiseOR(F.lit(level << 50)).bitwiseOR(F.shiftleft(path, 1))
-    return F.when(indices_ok(x, y, level) & domain.between(1, 511), packed)
+    domain = F.lit(domain_id) if isinstance(domain_id, int) else domain_id
+    return F.when(indices_ok(x, y, level) & domain.between(1, 511), packed_from_codes(domain_id, child_codes(x, y, level), level))
 
 
 GID_PATTERN = "^" + "".join(f"(?:[{ALPHABETS[s]}]" for s in STEPS) + ")?" * len(STEPS) + "$"

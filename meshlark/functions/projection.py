@@ -38,10 +38,12 @@ def _e2(ellipsoid: str) -> tuple[float, float]:
 def _cartesian(ellipsoid: str) -> Steps:
     a, e2 = _e2(ellipsoid)
     return [
-        ("n", lambda m, v: a / m.sqrt(1 - e2 * m.sin(v["phi"]) * m.sin(v["phi"]))),
-        ("X", lambda m, v: v["n"] * m.cos(v["phi"]) * m.cos(v["lam"])),
-        ("Y", lambda m, v: v["n"] * m.cos(v["phi"]) * m.sin(v["lam"])),
-        ("Z", lambda m, v: v["n"] * (1 - e2) * m.sin(v["phi"])),
+        ("s", lambda m, v: m.sin(v["phi"])),
+        ("n", lambda m, v: a * m.pow(1 - e2 * v["s"] * v["s"], -0.5)),
+        ("r", lambda m, v: v["n"] * m.cos(v["phi"])),
+        ("X", lambda m, v: v["r"] * m.cos(v["lam"])),
+        ("Y", lambda m, v: v["r"] * m.sin(v["lam"])),
+        ("Z", lambda m, v: v["n"] * (1 - e2) * v["s"]),
     ]
 
 
@@ -70,7 +72,8 @@ def _shift(h: Helmert, forward: bool) -> Steps:
         rows, at, add = rows.T / scale, -t, np.zeros(3)
     else:
         rows, at, add = rows * scale, np.zeros(3), t
-    line = lambda k: lambda m, v: float(add[k]) + sum(float(rows[k, j]) * (v[c] + float(at[j])) for j, c in enumerate("XYZ"))
+    add = add + rows @ at
+    line = lambda k: lambda m, v: sum((float(rows[k, j]) * v[c] for j, c in enumerate("XYZ")), float(add[k]))
     return [("A", line(0)), ("B", line(1)), ("C", line(2)), *((c, (lambda name: lambda m, v: v[name])(s)) for c, s in zip("XYZ", "ABC"))]
 
 
@@ -96,7 +99,7 @@ def _lcc(d: Domain) -> tuple[Steps, Steps]:
     rho0 = af * t_(lat0) ** n
     forward: Steps = [
         ("s", lambda m, v: e * m.sin(v["phi"])),
-        ("t", lambda m, v: m.tan(math.pi / 4 - v["phi"] / 2) / m.pow((1 - v["s"]) / (1 + v["s"]), e / 2)),
+        ("t", lambda m, v: m.tan(math.pi / 4 - v["phi"] * 0.5) * m.pow(1 - v["s"], -e / 2) * m.pow(1 + v["s"], e / 2)),
         ("rho", lambda m, v: af * m.pow(v["t"], n)),
         ("theta", lambda m, v: n * (v["lam"] - lon0)),
         ("x", lambda m, v: v["rho"] * m.sin(v["theta"])),
@@ -167,13 +170,18 @@ def _run_columns(df: DataFrame, steps: Steps, inputs: dict[str, Column], outputs
     """Adds the outputs to df; columns of intermediate steps don't stay."""
     before = df.columns
     tag, at = "_step_", {}
-    df = df.select("*", *(c.alias(f"{tag}{k}") for k, c in inputs.items()))
+    # Steps see no nulls, and divide by nothing but where they must: code for nulls at each step would double the size of
+    # the generated method, and the JVM doesn't compile methods that are too large.
+    there = F.lit(True)
+    for k, c in inputs.items():
+        there = c.isNotNull() if k == next(iter(inputs)) else there & c.isNotNull()
+    df = df.select("*", there.alias(f"{tag}there"), *(F.coalesce(c, F.lit(0.0)).alias(f"{tag}{k}") for k, c in inputs.items()))
     values = {k: F.col(f"{tag}{k}") for k in inputs}
     for i, (name, step) in enumerate(steps):
         at[name] = f"{tag}{name}_{i}"
         df = df.withColumn(at[name], step(_Columns, values))
         values[name] = F.col(at[name])
-    return df.select(*(F.col(f"`{c}`") for c in before if c not in outputs), *(f(values).alias(k) for k, f in outputs.items()))
+    return df.select(*(F.col(f"`{c}`") for c in before if c not in outputs), *(F.when(F.col(f"{tag}there"), f(values)).alias(k) for k, f in outputs.items()))
 
 
 def to_grid(d: Domain, lon, lat) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +196,8 @@ def from_grid(d: Domain, x, y) -> tuple[np.ndarray, np.ndarray]:
 
 def with_grid_xy(df: DataFrame, d: Domain, lon: str, lat: str, x: str = "x_m", y: str = "y_m") -> DataFrame:
     """Adds projected coordinates of WGS 84 longitude and latitude; all of it stays in generated code."""
-    return _run_columns(df, _steps(d)[0], {"lam": F.radians(F.col(lon)), "phi": F.radians(F.col(lat))}, {x: lambda v: v["x"], y: lambda v: v["y"]})
+    radians = [("lam", lambda m, v: v["lon"] * (math.pi / 180)), ("phi", lambda m, v: v["lat"] * (math.pi / 180))]
+    return _run_columns(df, [*radians, *_steps(d)[0]], {"lon": F.col(lon), "lat": F.col(lat)}, {x: lambda v: v["x"], y: lambda v: v["y"]})
 
 
 def with_lonlat(df: DataFrame, d: Domain, x: str, y: str, lon: str = "longitude", lat: str = "latitude") -> DataFrame:

@@ -198,22 +198,24 @@ def segment_share(a: np.ndarray, b: np.ndarray, x0: float, y0: float, x1: float,
     return np.where(miss | (low > high), -1.0, high - low)
 
 
-def covers(parts: list, x: float, y: float) -> bool:
-    """A point in a polygon; its edges count as inside."""
-    inside = False
+def covers_many(parts: list, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which points lie in a polygon; its edges count as inside. Vectorised over the points, an edge at a time."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    inside, on_edge = np.zeros(len(x), bool), np.zeros(len(x), bool)
     for polygon in parts:
-        odd = False
+        odd = np.zeros(len(x), bool)
         for r in polygon:
-            a, b = r[:-1], r[1:]
-            side = (b[:, 0] - a[:, 0]) * (y - a[:, 1]) - (b[:, 1] - a[:, 1]) * (x - a[:, 0])
-            box = (np.minimum(a[:, 0], b[:, 0]) <= x) & (x <= np.maximum(a[:, 0], b[:, 0])) & (np.minimum(a[:, 1], b[:, 1]) <= y) & (y <= np.maximum(a[:, 1], b[:, 1]))
-            if (box & (side == 0)).any():
-                return True
-            up = (a[:, 1] <= y) != (b[:, 1] <= y)
-            right = np.where(up, a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / np.where(up, b[:, 1] - a[:, 1], 1.0), -np.inf)
-            odd ^= bool(np.count_nonzero(up & (right > x)) % 2)
+            for (ax, ay), (bx, by) in zip(r[:-1].tolist(), r[1:].tolist()):
+                side = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+                on_edge |= (side == 0) & (min(ax, bx) <= x) & (x <= max(ax, bx)) & (min(ay, by) <= y) & (y <= max(ay, by))
+                if ay != by:
+                    odd ^= ((ay <= y) != (by <= y)) & (ax + (y - ay) * (bx - ax) / (by - ay) > x)
         inside |= odd
-    return inside
+    return inside | on_edge
+
+
+def covers(parts: list, x: float, y: float) -> bool:
+    return bool(covers_many(parts, np.array([x]), np.array([y]))[0])
 
 
 def centroid(parts: list) -> tuple[float, float]:

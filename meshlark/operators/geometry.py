@@ -275,7 +275,14 @@ class Boundary:
         return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{name}` boolean"]))
 
     def covers_points(self, df: DataFrame, x: str = "x_m", y: str = "y_m", name: str = "inside_boundary") -> DataFrame:
-        return self.flag(df, lambda a, b: shapes.covers(self.parts, a, b), {x: "double", y: "double"}, name)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                px, py = (batch.column(c).cast(pa.float64()) for c in (x, y))
+                flags = shapes.covers_many(self.parts, *(c.to_numpy(zero_copy_only=False) for c in (px, py)))
+                missing = np.logical_or(*(c.is_null().to_numpy(zero_copy_only=False) for c in (px, py)))
+                yield pa.record_batch([*batch.columns, pa.array(flags, pa.bool_(), mask=missing)], [*batch.schema.names, name])
+
+        return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{name}` boolean"]))
 
     def filter_points(self, df: DataFrame, x: str = "x_m", y: str = "y_m") -> DataFrame:
         """Rows inside; a range filter on the boundary's box goes first, and reaches the scan."""

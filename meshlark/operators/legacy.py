@@ -57,3 +57,16 @@ def migrate_points(df: DataFrame, domain: str, level: int, gid: str = "gid", lon
     flat = projection.with_grid_xy(placed, d, "_lon", "_lat", "_x", "_y")
     kept = [c for c in (*df.columns, "source_gid", "method", "min_lon", "min_lat", "max_lon", "max_lat", "v1_level") if c != "gid"]
     return encode_projected(flat, "_x", "_y", domain, level, keep=list(dict.fromkeys(kept)))
+
+
+def migrate_areas(df: DataFrame, domain: str, level: int, gid: str = "gid", coverage: str = "GRID_PLANAR", min_coverage: float = 0.0, limit: int = 100_000) -> DataFrame:
+    """The cells that each old cell's box covers in a domain, with the share of each new cell."""
+    from meshlark.operators.geometry import polygons_to_cells
+
+    boxed = decode_v1(df.withColumn("source_gid", F.col(gid)), gid)
+    w, s, e, n = (F.format_string("%.15f", F.col(c)) for c in ("min_lon", "min_lat", "max_lon", "max_lat"))
+    ring = F.concat_ws(", ", *(F.concat_ws(" ", a, b) for a, b in ((w, s), (e, s), (e, n), (w, n), (w, s))))
+    shaped = boxed.withColumn("_shape", F.when(F.col("v1_level").isNotNull(), F.concat(F.lit("POLYGON (("), ring, F.lit("))"))))
+    kept = [c for c in (*df.columns, "source_gid", "v1_level") if c != gid]
+    cells = polygons_to_cells(shaped, "_shape", domain, level, crs="EPSG:4326", keep=list(dict.fromkeys(kept)), coverage=coverage, min_coverage=min_coverage, limit=limit)
+    return cells.withColumn("method", F.lit("area_coverage"))

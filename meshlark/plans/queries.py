@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meshlark.functions import codec, periods, projection, topology
-from meshlark.functions.profiles import domain as find_domain
+from meshlark.functions.profiles import domain as find_domain, domain_table
 from meshlark.operators import aggregate as agg, compact, crosswalk, detect, encode, legacy, timecube
 from meshlark.operators.geometry import Boundary, cell_polygons, geometry_to_cells, polygons_to_cells
 from meshlark.plans import sql, sqlfuncs
@@ -466,6 +466,49 @@ def m2(spark, sf_dir):
     return legacy.migrate_points(points, "ID", 9, "gid", "lon", "lat").select("event_id", "gid", "method")
 
 
+@query("m3_migrate_areas")
+def m3(spark, sf_dir):
+    """The old cells of level 9 around one city; tests hold the shares against their box."""
+    old = spark.range(25).select(F.concat(F.lit("J3N2M763"), F.substring(F.lit("23456789CEFGHJLMNPQRTVWXY"), F.col("id").cast("int") + 1, F.lit(1))).alias("gid"))
+    return legacy.migrate_areas(old, "ID", 9).select("source_gid", "gid", F.round("coverage_ratio", 9).alias("coverage_ratio"))
+
+
+_statuses = "('ID', 1, 'released'), ('VN', 2, 'candidate'), ('BN', 3, 'released'), ('KH', 4, 'candidate'), ('LA', 5, 'released'), ('MY', 6, 'released'), ('MM', 7, 'candidate'), ('PH', 8, 'released'), ('SG', 9, 'released'), ('TH', 10, 'candidate'), ('TL', 11, 'candidate')"
+
+
+@query("s18_domain_listing", f"SELECT domain, domain_id, support_status, count(o.x_idx) AS cells FROM (VALUES {_statuses}) t(domain, domain_id, support_status) LEFT JOIN {sql.cells(sql.ORDERS, 2, 'o_orderkey')} o ON o.o_orderkey % 13 = domain_id GROUP BY ALL")
+def s18(spark, sf_dir):
+    """Domains with what is stored for each, also those with nothing."""
+    stored = order_cells(spark, sf_dir, 2).select("x_idx", (F.col("o_orderkey") % 13).alias("k"))
+    named = domain_table(spark).select("domain", "domain_id", "support_status")
+    return named.join(stored, F.col("domain_id") == F.col("k"), "left").groupBy("domain", "domain_id", "support_status").agg(F.count("x_idx").alias("cells"))
+
+
+@query("v4_dataset_violations", f"SELECT count(*) FILTER (WHERE o_orderkey % 50 = 0) AS uri, count(*) FILTER (WHERE o_orderkey % 100 = 0) AS packed_id FROM {sql.cells(sql.ORDERS, 9, 'o_orderkey')}")
+def v4(spark, sf_dir):
+    """Every fiftieth URI and every hundredth packed id is broken on purpose."""
+    cells = order_cells(spark, sf_dir, 9).select("gid", "uri", "packed_id", "o_orderkey")
+    uri = F.when(F.col("o_orderkey") % 50 == 0, F.concat("uri", F.lit("x"))).otherwise(F.col("uri"))
+    packed = F.when(F.col("o_orderkey") % 100 == 0, F.col("packed_id") + 2).otherwise(F.col("packed_id"))
+    found = datasets.row_violations(cells.withColumn("uri", uri).withColumn("packed_id", packed), datasets.new_manifest("ID", 9, [("o_orderkey", "int64", "COUNT")]))
+    return spark.range(1).select(F.lit(found["uri"]).cast("long").alias("uri"), F.lit(found["packed_id"]).cast("long").alias("packed_id"))
+
+
+@query("v5_compact_violations", f"SELECT count(*) AS covered FROM (SELECT DISTINCT substr(gid, 1, 4) AS g FROM {sql.cells(sql.ORDERS, 4, 'o_orderkey')} WHERE o_orderkey % 3 = 0)")
+def v5(spark, sf_dir):
+    """A set with the cells of two levels, each of the finer inside one of the coarser."""
+    fine = order_cells(spark, sf_dir, 4).filter("o_orderkey % 3 = 0").select("gid").distinct()
+    both = fine.unionByName(_seeds(spark, sf_dir)).withColumn("level", F.length("gid"))
+    return spark.range(1).select(F.lit(compact.violations(both)["covered"]).cast("long").alias("covered"))
+
+
+@query("v7_crosswalk_violations", f"SELECT 0::BIGINT AS bad, count(*) AS rows FROM {_xw}")
+def v7(spark, sf_dir):
+    rows = _crosswalk(spark, sf_dir)
+    bad = sum(crosswalk.violations(rows, 2).values())
+    return rows.agg(F.lit(bad).cast("long").alias("bad"), F.count(F.lit(1)).alias("rows"))
+
+
 # --- geometry (X2-X6, F1-F6, G1) -----------------------------------------------------------------------------------------
 
 _BOX = "POLYGON (({x0} {y0}, {x1} {y0}, {x1} {y1}, {x0} {y1}, {x0} {y0}))"

@@ -348,6 +348,15 @@ def test_older_grid(spark):
     assert out[0]["gid"] == "H2X545V394J4" and [r["method"] for r in out] == ["source_coordinates", "cell_centroid"]
 
 
+def test_older_areas_keep_their_size(spark):
+    old = spark.createDataFrame([("J3N2M763T", 7), ("bad", 8)], "gid string, n int")
+    cells = legacy.migrate_areas(old, "ID", 10).collect()
+    box = legacy.decode_v1(old).first()
+    a = 6371007.0
+    true = math.radians(box["max_lon"] - box["min_lon"]) * a * a * (math.sin(math.radians(box["max_lat"])) - math.sin(math.radians(box["min_lat"])))
+    assert sum(r["coverage_ratio"] for r in cells) * 500.0**2 == pytest.approx(true, rel=0.02) and {r["n"] for r in cells} == {7}
+
+
 def test_encoder_texts_and_tables(spark, tmp_path):
     for engine in ("bigquery", "snowflake", "postgis"):
         text = sqlfuncs.render(engine)
