@@ -169,70 +169,15 @@ class Cache(dict):
             self.update(zip(some, self.make(some)))
 
 
-class Reader:
-    """What each pre-token is worth (`make`), added up over whole texts by `total`.
-
-    A space between two characters that aren't white space always starts a pre-token, so most texts are split at single
-    spaces, which is quick, and each piece is looked up with the space before it; the pattern reads pieces that are new.
-    """
-
-    def __init__(self, bpe: ByteBpe, make: Callable[[list[str]], Iterable], total: Callable[[Iterable], object], special: dict[int, object]) -> None:
-        self.bpe, self.total, self.special = bpe, total, special
-        self.words, self.pieces = Cache(make), Cache(self._of_pieces)
-
-    def _totals(self, found: list) -> list:
-        self.words.learn({w for words in found for w in words})
-        get = self.words.__getitem__
-        return [get(words[0]) if len(words) == 1 else self.total(map(get, words)) for words in found]
-
-    def _of_pieces(self, pieces: list[str]) -> list:
-        """Pieces with the space before them; letters alone, or letters and one mark, need no pattern."""
-        split = self.bpe.split.findall
-        return self._totals([(" " + p,) if p.isalpha() else (" " + p[:-1], p[-1]) if p[-1:] in _MARKS and p[:-1].isalpha() else split(" " + p) for p in pieces])
-
-    def read(self, texts: list[str]) -> list:
-        rows, slow, holes = [], [], []
-        get = self.pieces.get
-        for t in texts:
-            parts = []
-            for part, special in self.bpe.parts(t):
-                pieces = [part] if _RUN.search(part) else part.split(" ")
-                slow.append(pieces[0])
-                values = list(map(get, pieces))
-                values[0] = ()
-                if None in values:
-                    holes += [(values, k, pieces[k]) for k, v in enumerate(values) if v is None]
-                parts.append((values, special))
-            rows.append(parts)
-        self.pieces.learn({p for _, _, p in holes})
-        pieces = self.pieces
-        for values, k, p in holes:
-            values[k] = pieces[p]
-        firsts = iter(self._totals([self.bpe.split.findall(p) for p in slow]))
-        out = []
-        for parts in rows:
-            for values, special in parts:
-                values[0] = next(firsts)
-                if special is not None:
-                    values.append(self.special[special])
-            out.append(self.total(parts[0][0] if len(parts) == 1 else [x for values, _ in parts for x in values]))
-        return out
-
-
-#: Marks that are a pre-token of their own after letters.
-_MARKS = frozenset(",.;:!?")
-_RUN = regex.compile(r"\s ")
-
-
 @functools.cache
 def vocabulary(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
 @functools.cache
-def _counter(path: str) -> Reader:
+def _counts(path: str) -> Cache:
     bpe = vocabulary(path)
-    return Reader(bpe, lambda words: bpe.merge([w.encode() for w in words])[1].tolist(), sum, dict.fromkeys(bpe.special.values(), 1))
+    return Cache(lambda words: bpe.merge([w.encode() for w in words])[1].tolist())
 
 
 def id_type(path: str) -> np.dtype:
@@ -240,7 +185,12 @@ def id_type(path: str) -> np.dtype:
 
 
 def count_tokens(path: str, texts: list[str]) -> list[int]:
-    return _counter(path).read(texts)
+    """How many ids each text has: its pre-tokens' counts, and one for each special string."""
+    bpe, counts = vocabulary(path), _counts(path)
+    found = [[(bpe.split.findall(part), special) for part, special in bpe.parts(t)] for t in texts]
+    counts.learn({w for parts in found for words, _ in parts for w in words})
+    get = counts.__getitem__
+    return [sum(sum(map(get, words)) + (special is not None) for words, special in parts) for parts in found]
 
 
 @functools.cache
