@@ -28,7 +28,7 @@ def op2_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from meshlark.llm.line_chunks import dedup_texts
+    from meshlark.llm.line_runs import dedup_texts
 
     kept = dedup_texts(documents(spark, sf_dir))
     n_kept = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("kept_bytes")
