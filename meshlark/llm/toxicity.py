@@ -1,10 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, and distance-weighted votes.
 
-Training reads a bounded sample of labelled rows (SAMPLE a class, by hash). Terms whose presence differs between the
-classes beyond chance are the features (at most FEATURES, by |z|); their inverse document frequency counts all documents.
+Training reads a bounded sample of labelled rows (SAMPLE a class, by hash). All terms of at least LEAST_DOCS of its rows whose
+presence differs between the classes beyond chance are the features; their inverse document frequency counts all documents.
 The index holds at most EXAMPLES distinct example vectors a class: postings by term, in blocks of BLOCK examples with the
-largest weight of each block. A query bounds every block by the sum of its query weights times those maxima, opens blocks
-in falling order of the bound, and stops when the next bound can't enter the k best; the result is exact. Votes weigh
+largest weight of each block. A query bounds every block by the sum of its query weights times those maxima, opens the FIRST
+blocks of largest bound, and then all whose bound can still enter the k best; the result is exact. Votes weigh
 1 / (1 - cosine + 0.05), and the rate of toxic rows among training rows without any feature is a prior of weight PRIOR.
 
 Defined results: null and empty texts, and texts without a feature, score that prior; documents without a label are scored
@@ -24,11 +24,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from meshlark.llm.common import written
 
 #: Bounds on what is collected and sent to every executor.
-SAMPLE, FEATURES, EXAMPLES = 10_000, 128, 2048
-#: A feature's presence in the two classes must differ by this many standard errors and by this factor: words that only
-#: come with longer texts differ by little.
-LEAST_Z, LEAST_LIFT, LEAST_DOCS = 6.0, 3.0, 5
-NEIGHBOURS, BLOCK, PRIOR = 15, 64, 1.0
+SAMPLE, EXAMPLES = 10_000, 2048
+#: A feature's presence in the two classes must differ by this many standard errors, and so many training rows must have it.
+LEAST_Z, LEAST_DOCS = 3.0, 5
+NEIGHBOURS, BLOCK, FIRST, PRIOR = 15, 64, 4, 1.0
 _TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -70,16 +69,15 @@ def term_counts(rows: DataFrame) -> DataFrame:
 
 
 def features(counts: DataFrame, n_clean: int, n_toxic: int) -> list[str]:
-    """The terms that tell the classes apart, at most FEATURES, in order of |z|."""
+    """The terms that tell the classes apart beyond chance, all of them, in order of |z|."""
     if not n_clean or not n_toxic:
         return []
     share = (F.col("clean") + F.col("toxic")) / F.lit(float(n_clean + n_toxic))
     spread = F.sqrt(share * (1 - share) * F.lit(1 / n_clean + 1 / n_toxic))
     toxic, clean = F.col("toxic") / F.lit(float(n_toxic)), F.col("clean") / F.lit(float(n_clean))
     z = F.abs(toxic - clean) / spread
-    far = F.greatest(toxic, clean) >= LEAST_LIFT * F.least(toxic, clean)
-    rated = counts.filter((F.col("clean") + F.col("toxic") >= LEAST_DOCS) & (share < 1) & far).withColumn("z", z)
-    return [r["term"] for r in rated.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(FEATURES).collect()]
+    rated = counts.filter((F.col("clean") + F.col("toxic") >= LEAST_DOCS) & (share < 1)).withColumn("z", z)
+    return [r["term"] for r in rated.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").collect()]
 
 
 def term_vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -103,17 +101,17 @@ class BlockMaxIndex:
         self.idf = idf
         self.labels = np.array([y for _, _, y, _ in rows], np.int64)
         self.ids = [i for _, _, _, i in rows]
-        blocks = -(-len(rows) // BLOCK)
-        self.most = np.zeros((len(idf), blocks))
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = [{} for _ in idf]
-        lists: dict[tuple[int, int], list] = {}
-        for n, (names, counts, _, _) in enumerate(rows):
-            for t, w in zip(names, self.vector(names, counts)):
-                lists.setdefault((t, n // BLOCK), []).append((n % BLOCK, w))
-        for (t, b), pairs in lists.items():
-            at, weights = (np.array(x) for x in zip(*pairs))
-            self.postings[t][b] = at, weights
-            self.most[t, b] = weights.max()
+        self.blocks = -(-len(rows) // BLOCK)
+        self.most = np.zeros((len(idf), self.blocks))
+        sizes = [len(names) for names, _, _, _ in rows]
+        terms = np.fromiter((t for names, _, _, _ in rows for t in names), np.int64, sum(sizes))
+        weights = np.concatenate([np.zeros(0), *(self.vector(names, counts) for names, counts, _, _ in rows)])
+        places = np.repeat(np.arange(len(rows)), sizes)
+        order = np.lexsort((places, terms))
+        self.places, self.weights, cells = places[order], weights[order], (terms * self.blocks + places // BLOCK)[order]
+        np.maximum.at(self.most.reshape(-1), cells, self.weights)
+        #: Where the postings of each term and block start; those of the next start where they end.
+        self.starts = np.searchsorted(cells, np.arange(len(idf) * self.blocks + 1))
 
     def vector(self, names: list[int], counts: list[int]) -> np.ndarray:
         w = (1 + np.log(np.array(counts, float))) * self.idf[names]
@@ -123,18 +121,23 @@ class BlockMaxIndex:
         """The k examples of largest cosine, ties by place, without those of cosine 0."""
         q = self.vector(names, counts)
         bounds = q @ self.most[names]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(names, q):
-                if b in self.postings[t]:
-                    at, weights = self.postings[t][b]
-                    scores[at] += w * weights
-            at = np.flatnonzero(scores > 0)
-            best = sorted(best + [(s, b * BLOCK + n) for s, n in zip(scores[at].tolist(), at.tolist())], key=lambda x: (-x[0], x[1]))[:k]
-        return best
+        order = np.argsort(-bounds, kind="stable")
+        best = self._opened(names, q, order[:FIRST], k)
+        least = best[-1][0] - 1e-12 if len(best) == k else 0.0
+        more = order[FIRST:][(bounds[order[FIRST:]] > 0) & (bounds[order[FIRST:]] >= least)]
+        return sorted(best + self._opened(names, q, more, k), key=lambda x: (-x[0], x[1]))[:k] if len(more) else best
+
+    def _opened(self, names: list[int], q: np.ndarray, blocks: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The k best examples of some blocks."""
+        cells = (np.array(names)[:, None] * self.blocks + blocks).reshape(-1)
+        low = self.starts[cells]
+        sizes = self.starts[cells + 1] - low
+        at = np.arange(sizes.sum()) + np.repeat(low - np.cumsum(sizes) + sizes, sizes)
+        scores = np.bincount(self.places[at], self.weights[at] * np.repeat(np.repeat(q, len(blocks)), sizes), len(self.ids))
+        found = np.flatnonzero(scores > 0)
+        if len(found) > k:
+            found = found[scores[found] >= np.partition(scores[found], -k)[-k]]
+        return sorted(zip(scores[found].tolist(), found.tolist()), key=lambda x: (-x[0], x[1]))[:k]
 
     def score(self, names: list[int], counts: list[int], prior: float) -> tuple[float, list[int]]:
         near = self.nearest(names, counts, NEIGHBOURS) if names and self.ids else []
@@ -170,7 +173,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for names, counts in zip(batch.column("features").to_pylist(), batch.column("counts").to_pylist()):
                 key = (tuple(names), tuple(counts))
                 if key not in known:
-                    if len(known) > 100_000:
+                    if len(known) > 20_000:
                         known.clear()
                     known[key] = index.score(names, counts, rate)
                 out.append(known[key])

@@ -43,3 +43,10 @@ def test_odd_rows(spark):
     assert T.toxicity(empty(spark), labels).count() == 0
     none = T.toxicity(odd_rows(spark), labels.limit(0)).collect()
     assert len(none) == 8 and len({r["score"] for r in none}) == 1
+
+
+def test_every_term_that_differs_is_a_feature(spark):
+    """300 toxic words of ten rows each, and one that is only twice as common among toxic rows."""
+    counts = [(f"rare{k}", 0, 10) for k in range(300)] + [("double", 1000, 2000), ("even", 1500, 1500), ("few", 0, 4)]
+    table = spark.createDataFrame(counts, "term string, clean bigint, toxic bigint")
+    assert sorted(T.features(table, 5000, 5000)) == sorted(["double", *(f"rare{k}" for k in range(300))])
