@@ -4,8 +4,10 @@ Training reads a bounded sample of labelled rows (SAMPLE a class, by hash). All
 presence differs between the classes beyond chance are the features; their inverse document frequency counts all documents.
 The index holds at most EXAMPLES distinct example vectors a class: postings by term, in blocks of BLOCK examples with the
 largest weight of each block. A query bounds every block by the sum of its query weights times those maxima, opens the FIRST
-blocks of largest bound, and then all whose bound can still enter the k best; the result is exact. Votes weigh
-1 / (1 - cosine + 0.05), and the rate of toxic rows among training rows without any feature is a prior of weight PRIOR.
+blocks of largest bound, and then all whose bound can still enter the k best; the result is exact. Votes are those of the
+NEIGHBOURS nearest training rows: an example votes for all rows that share its vector and label, and those at the cosine that
+exceeds NEIGHBOURS share what is left. They weigh 1 / (1 - cosine + 0.05). The rate of toxic rows among training rows without
+any feature, each class weighed by its training rows over its sampled ones, is a prior of weight PRIOR.
 
 Defined results: null and empty texts, and texts without a feature, score that prior; documents without a label are scored
 like any other; rows whose doc_id occurs twice are scored each; without labels of both classes every score is the prior.
@@ -36,14 +38,25 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and label of all training rows."""
+    return labels.filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+
+
 def sampled_labels(labels: DataFrame) -> DataFrame:
     """doc_id and label of at most SAMPLE training rows a class."""
-    usable = labels.filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    usable = usable_labels(labels)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     classes = [usable.filter(F.col("label") == y).orderBy(*order).limit(SAMPLE) for y in (0, 1)]
     return written(classes[0].unionByName(classes[1]))
 
 
+def class_weights(rows: dict[int, int], sampled: dict[int, int]) -> list[float]:
+    """How many training rows of a class a sampled one stands for, over the mean of all sampled rows."""
+    mean = sum(rows.get(y, 0) for y in (0, 1)) / max(1, sum(sampled.values()))
+    return [rows.get(y, 0) / sampled[y] / mean if sampled.get(y) else 1.0 for y in (0, 1)]
+
+
 def term_counts(rows: DataFrame) -> DataFrame:
     """How many rows of each class have each term; counted in each task before the shuffle."""
 
@@ -97,8 +110,10 @@ def term_vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
 class BlockMaxIndex:
     """Unit vectors of labelled examples by term, in blocks."""
 
-    def __init__(self, rows: list[tuple[list[int], list[int], int, int]], idf: np.ndarray) -> None:
+    def __init__(self, rows: list[tuple[list[int], list[int], int, int]], idf: np.ndarray, sizes: list[int] | None = None) -> None:
+        """sizes: the training rows of each example."""
         self.idf = idf
+        self.n_rows = sizes or [1] * len(rows)
         self.labels = np.array([y for _, _, y, _ in rows], np.int64)
         self.ids = [i for _, _, _, i in rows]
         self.blocks = -(-len(rows) // BLOCK)
@@ -141,7 +156,16 @@ class BlockMaxIndex:
 
     def score(self, names: list[int], counts: list[int], prior: float) -> tuple[float, list[int]]:
         near = self.nearest(names, counts, NEIGHBOURS) if names and self.ids else []
-        votes = [1 / (max(0.0, 1 - s) + 0.05) for s, _ in near]
+        votes, left, at = [0.0] * len(near), float(NEIGHBOURS), 0
+        while at < len(near) and left > 0:
+            stop = at + 1
+            while stop < len(near) and near[at][0] - near[stop][0] < 1e-9:
+                stop += 1
+            tied = sum(self.n_rows[n] for _, n in near[at:stop])
+            for k in range(at, stop):
+                s, n = near[k]
+                votes[k] = self.n_rows[n] * min(1.0, left / tied) / (max(0.0, 1 - s) + 0.05)
+            left, at = left - tied, stop
         toxic = sum(v for v, (_, n) in zip(votes, near) if self.labels[n])
         return (toxic + PRIOR * prior) / (sum(votes) + PRIOR), [self.ids[n] for _, n in near[:3]]
 
@@ -157,16 +181,20 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     seen = {r["t"]: r["n"] for r in vectors.select(F.explode("features").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
     idf = np.array([1 + np.log((1 + n_docs) / (1 + seen.get(t, 0))) for t in range(len(terms))])
     trained = vectors.join(named, "doc_id")
-    bare = trained.filter(F.size("features") == 0).agg(F.avg("label").alias("rate")).first()["rate"]
-    rate = bare if bare is not None else sizes.get(1, 0) / max(1, sum(sizes.values()))
-    distinct = trained.filter(F.size("features") > 0).groupBy("features", "counts", "label").agg(F.min("doc_id").alias("doc_id"))
+    everyone = {r["label"]: r["n"] for r in usable_labels(labels).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    stands = class_weights(everyone, sizes)
+    bare = {r["label"]: r["n"] for r in trained.filter(F.size("features") == 0).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()} or sizes
+    clean, toxic = (bare.get(y, 0) * stands[y] for y in (0, 1))
+    rate = toxic / (clean + toxic) if clean + toxic else 0.0
+    distinct = written(trained.filter(F.size("features") > 0).groupBy("features", "counts", "label").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")))
     order = [F.xxhash64("features", "counts"), F.col("doc_id")]
     chosen = [distinct.filter(F.col("label") == y).orderBy(*order).limit(EXAMPLES) for y in (0, 1)]
-    rows = [(list(r["features"]), list(r["counts"]), r["label"], r["doc_id"]) for r in chosen[0].unionByName(chosen[1]).collect()]
+    rows = [(list(r["features"]), list(r["counts"]), r["label"], r["doc_id"], r["n"]) for r in chosen[0].unionByName(chosen[1]).collect()]
     rows.sort(key=lambda r: (r[0], r[1], r[2]))  # examples alike share blocks, which sharpens the bounds
+    rows, n_rows = [r[:4] for r in rows], [r[4] for r in rows]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = BlockMaxIndex(rows, idf)
+        index = BlockMaxIndex(rows, idf, n_rows)
         known: dict[tuple, tuple[float, list[int]]] = {}
         for batch in batches:
             out = []

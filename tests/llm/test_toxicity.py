@@ -50,3 +50,11 @@ def test_every_term_that_differs_is_a_feature(spark):
     counts = [(f"rare{k}", 0, 10) for k in range(300)] + [("double", 1000, 2000), ("even", 1500, 1500), ("few", 0, 4)]
     table = spark.createDataFrame(counts, "term string, clean bigint, toxic bigint")
     assert sorted(T.features(table, 5000, 5000)) == sorted(["double", *(f"rare{k}" for k in range(300))])
+
+
+def test_votes_weigh_rows():
+    """A vector of 5000 toxic rows and one mislabelled one scores near 1."""
+    rows = [([0], [1], 0, 1), ([0], [1], 1, 2)]
+    many = T.BlockMaxIndex(rows, np.ones(1), [1, 5000])
+    assert many.score([0], [1], 0.1)[0] > 0.95
+    assert T.class_weights({0: 90, 1: 10}, {0: 10, 1: 10}) == [1.8, 0.2]
