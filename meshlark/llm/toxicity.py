@@ -1,16 +1,21 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, and distance-weighted votes.
 
-Training reads a bounded sample of labelled rows (SAMPLE a class, by hash). All terms of at least LEAST_DOCS of its rows whose
-presence differs between the classes beyond chance are the features; their inverse document frequency counts all documents.
-The index holds at most EXAMPLES distinct example vectors a class: postings by term, in blocks of BLOCK examples with the
-largest weight of each block. A query bounds every block by the sum of its query weights times those maxima, opens the FIRST
-blocks of largest bound, and then all whose bound can still enter the k best; the result is exact. Votes are those of the
-NEIGHBOURS nearest training rows: an example votes for all rows that share its vector and label, and those at the cosine that
-exceeds NEIGHBOURS share what is left. They weigh 1 / (1 - cosine + 0.05). The rate of toxic rows among training rows without
-any feature, each class weighed by its training rows over its sampled ones, is a prior of weight PRIOR.
-
-Defined results: null and empty texts, and texts without a feature, score that prior; documents without a label are scored
-like any other; rows whose doc_id occurs twice are scored each; without labels of both classes every score is the prior.
+Training reads a bounded sample of labelled rows (EXAMPLES, by hash, so that classes keep their natural rates). Every term of
+the sample is indexed, whatever its frequency; its inverse document frequency counts all documents. A term's weight in a
+text is (1 + log count) * idf * relevance. Relevance, between FLOOR and 1, grows with the standard errors by which the
+term's presence differs between the classes of the sample: words of one's language or topic count little, yet never nothing.
+
+The index holds postings by term in blocks of BLOCK examples, with the largest weight of each term in each block. A query
+bounds every block by the sum of its weights times those maxima, opens the FIRST blocks of largest bound, and then all whose
+bound can still reach the k-th best cosine; the result is exact. Examples of like strong terms, then of like languages,
+share blocks, which keeps bounds sharp. The NEIGHBOURS nearest examples vote with weight 1 / (1 - cosine + 0.05); examples
+tied at the last place share what is left of it. The share of toxic votes becomes a probability by a logistic map, fitted
+on the examples themselves, each asked without its own row (leave one out).
+
+Defined results: null and empty texts, and texts without any term of the sample, score the rate of toxic rows in the sample;
+documents without a label are scored like any other; rows whose doc_id occurs twice are scored each, and of several texts
+under one labelled doc_id the least is the example; without labels of both classes every score is the rate; an empty table
+gives no rows. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -25,11 +30,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from meshlark.llm.common import written
 
-#: Bounds on what is collected and sent to every executor.
-SAMPLE, EXAMPLES = 10_000, 2048
-#: A feature's presence in the two classes must differ by this many standard errors, and so many training rows must have it.
-LEAST_Z, LEAST_DOCS = 3.0, 5
-NEIGHBOURS, BLOCK, FIRST, PRIOR = 15, 64, 4, 1.0
+#: The bound on labelled rows that are collected and sent to every executor.
+EXAMPLES = 4096
+NEIGHBOURS, BLOCK, FIRST, PRIOR = 15, 64, 2, 1.0
+#: The most frequent terms, whose postings are kept as matrices, and the queries answered together.
+COMMON, TOGETHER = 512, 128
+#: The least relevance of a term, and the standard errors at which relevance is halfway.
+FLOOR, HALFWAY = 0.01, 3.0
 _TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -38,174 +45,239 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def usable_labels(labels: DataFrame) -> DataFrame:
-    """doc_id and label of all training rows."""
-    return labels.filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+def terms_of(text: str | None) -> Counter:
+    return Counter(_TERM.findall((text or "").lower()))
 
 
-def sampled_labels(labels: DataFrame) -> DataFrame:
-    """doc_id and label of at most SAMPLE training rows a class."""
-    usable = usable_labels(labels)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    classes = [usable.filter(F.col("label") == y).orderBy(*order).limit(SAMPLE) for y in (0, 1)]
-    return written(classes[0].unionByName(classes[1]))
+def examples(docs: DataFrame, labels: DataFrame, most: int) -> list[tuple[object, int, dict[str, int]]]:
+    """doc_id, label and term counts of at most `most` training rows, by hash of the doc_id."""
+    usable = labels.filter(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = written(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return sorted((r["doc_id"], r["label"], terms_of(r["text"])) for r in texts.toLocalIterator())
 
 
-def class_weights(rows: dict[int, int], sampled: dict[int, int]) -> list[float]:
-    """How many training rows of a class a sampled one stands for, over the mean of all sampled rows."""
-    mean = sum(rows.get(y, 0) for y in (0, 1)) / max(1, sum(sampled.values()))
-    return [rows.get(y, 0) / sampled[y] / mean if sampled.get(y) else 1.0 for y in (0, 1)]
+def by_frequency(rows: list[tuple[object, int, dict[str, int]]]) -> list[str]:
+    """All terms of the examples, those of most examples first."""
+    found = Counter(t for _, _, c in rows for t in c)
+    return sorted(found, key=lambda t: (-found[t], t))
 
 
-def term_counts(rows: DataFrame) -> DataFrame:
-    """How many rows of each class have each term; counted in each task before the shuffle."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_class = (Counter(), Counter())
-
-        def out() -> pa.RecordBatch:
-            terms = list(by_class[0].keys() | by_class[1].keys())
-            columns = [pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in by_class)]
-            for c in by_class:
-                c.clear()
-            return pa.record_batch(columns, ["term", "clean", "toxic"])
-
-        for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                by_class[label].update(set(_TERM.findall((text or "").lower())))
-            if sum(map(len, by_class)) > 300_000:
-                yield out()
-        yield out()
-
-    parts = rows.select("text", F.col("label").cast("int").alias("label")).mapInArrow(counted, "term string, clean bigint, toxic bigint")
-    return parts.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-
-
-def features(counts: DataFrame, n_clean: int, n_toxic: int) -> list[str]:
-    """The terms that tell the classes apart beyond chance, all of them, in order of |z|."""
-    if not n_clean or not n_toxic:
-        return []
-    share = (F.col("clean") + F.col("toxic")) / F.lit(float(n_clean + n_toxic))
-    spread = F.sqrt(share * (1 - share) * F.lit(1 / n_clean + 1 / n_toxic))
-    toxic, clean = F.col("toxic") / F.lit(float(n_toxic)), F.col("clean") / F.lit(float(n_clean))
-    z = F.abs(toxic - clean) / spread
-    rated = counts.filter((F.col("clean") + F.col("toxic") >= LEAST_DOCS) & (share < 1)).withColumn("z", z)
-    return [r["term"] for r in rated.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").collect()]
-
-
-def term_vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id and the features of each whole text as (feature, count), in order of the feature."""
+def document_counts(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
+    """How many documents there are, and how many have each of the terms; counted in each task before the shuffle."""
     place = {t: k for k, t in enumerate(terms)}
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = place.get
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(len(place) + 1, np.int64)  # the last counts documents
         for batch in batches:
-            found = [sorted(Counter(k for w in _TERM.findall((t or "").lower()) if (k := get(w)) is not None).items()) for t in batch.column("text").to_pylist()]
-            names, counts = ([[x[i] for x in f] for f in found] for i in (0, 1))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(names, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "features", "counts"])
-
-    return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {dict(docs.dtypes)['doc_id']}, features array<int>, counts array<int>")
+            found = [k for t in batch.column("text").to_pylist() for w in set(_TERM.findall((t or "").lower())) if (k := place.get(w)) is not None]
+            seen[:-1] += np.bincount(np.array(found, np.int64), minlength=len(place))
+            seen[-1] += batch.num_rows
+        at = np.flatnonzero(seen)
+        yield pa.record_batch([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["t", "n"])
+
+    table = docs.select("text").mapInArrow(counted, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    every = np.zeros(len(terms) + 1, np.int64)
+    every[table["t"].to_numpy()] = table["n"].to_numpy()
+    return int(every[-1]), every[:-1]
+
+
+def relevance(rows: list[tuple[object, int, dict[str, int]]], place: dict[str, int]) -> np.ndarray:
+    """FLOOR to 1 for each term: how surely its presence differs between the classes (with a correction for continuity)."""
+    labels = np.array([y for _, y, _ in rows])
+    n, n_toxic = len(rows), int(labels.sum())
+    of = np.fromiter((place[t] for _, _, c in rows for t in c), np.int64)
+    toxic = np.bincount(of, np.repeat(labels, [len(c) for _, _, c in rows]), len(place))
+    every = np.bincount(of, minlength=len(place))
+    expected = every * n_toxic / n
+    spread = np.sqrt(np.maximum(every * (n - every), 1) / n * (n_toxic / n) * (1 - n_toxic / n)) + 1e-9
+    z = np.maximum(np.abs(toxic - expected) - 1, 0) / spread
+    return FLOOR + (1 - FLOOR) * z**4 / (z**4 + HALFWAY**4)
 
 
 class BlockMaxIndex:
-    """Unit vectors of labelled examples by term, in blocks."""
-
-    def __init__(self, rows: list[tuple[list[int], list[int], int, int]], idf: np.ndarray, sizes: list[int] | None = None) -> None:
-        """sizes: the training rows of each example."""
-        self.idf = idf
-        self.n_rows = sizes or [1] * len(rows)
-        self.labels = np.array([y for _, _, y, _ in rows], np.int64)
-        self.ids = [i for _, _, _, i in rows]
-        self.blocks = -(-len(rows) // BLOCK)
-        self.most = np.zeros((len(idf), self.blocks))
-        sizes = [len(names) for names, _, _, _ in rows]
-        terms = np.fromiter((t for names, _, _, _ in rows for t in names), np.int64, sum(sizes))
-        weights = np.concatenate([np.zeros(0), *(self.vector(names, counts) for names, counts, _, _ in rows)])
-        places = np.repeat(np.arange(len(rows)), sizes)
-        order = np.lexsort((places, terms))
-        self.places, self.weights, cells = places[order], weights[order], (terms * self.blocks + places // BLOCK)[order]
-        np.maximum.at(self.most.reshape(-1), cells, self.weights)
-        #: Where the postings of each term and block start; those of the next start where they end.
-        self.starts = np.searchsorted(cells, np.arange(len(idf) * self.blocks + 1))
-
-    def vector(self, names: list[int], counts: list[int]) -> np.ndarray:
-        w = (1 + np.log(np.array(counts, float))) * self.idf[names]
-        return w / np.linalg.norm(w)
-
-    def nearest(self, names: list[int], counts: list[int], k: int) -> list[tuple[float, int]]:
-        """The k examples of largest cosine, ties by place, without those of cosine 0."""
-        q = self.vector(names, counts)
-        bounds = q @ self.most[names]
-        order = np.argsort(-bounds, kind="stable")
-        best = self._opened(names, q, order[:FIRST], k)
-        least = best[-1][0] - 1e-12 if len(best) == k else 0.0
-        more = order[FIRST:][(bounds[order[FIRST:]] > 0) & (bounds[order[FIRST:]] >= least)]
-        return sorted(best + self._opened(names, q, more, k), key=lambda x: (-x[0], x[1]))[:k] if len(more) else best
-
-    def _opened(self, names: list[int], q: np.ndarray, blocks: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k best examples of some blocks."""
-        cells = (np.array(names)[:, None] * self.blocks + blocks).reshape(-1)
-        low = self.starts[cells]
-        sizes = self.starts[cells + 1] - low
-        at = np.arange(sizes.sum()) + np.repeat(low - np.cumsum(sizes) + sizes, sizes)
-        scores = np.bincount(self.places[at], self.weights[at] * np.repeat(np.repeat(q, len(blocks)), sizes), len(self.ids))
-        found = np.flatnonzero(scores > 0)
-        if len(found) > k:
-            found = found[scores[found] >= np.partition(scores[found], -k)[-k]]
-        return sorted(zip(scores[found].tolist(), found.tolist()), key=lambda x: (-x[0], x[1]))[:k]
-
-    def score(self, names: list[int], counts: list[int], prior: float) -> tuple[float, list[int]]:
-        near = self.nearest(names, counts, NEIGHBOURS) if names and self.ids else []
-        votes, left, at = [0.0] * len(near), float(NEIGHBOURS), 0
-        while at < len(near) and left > 0:
-            stop = at + 1
-            while stop < len(near) and near[at][0] - near[stop][0] < 1e-9:
-                stop += 1
-            tied = sum(self.n_rows[n] for _, n in near[at:stop])
-            for k in range(at, stop):
-                s, n = near[k]
-                votes[k] = self.n_rows[n] * min(1.0, left / tied) / (max(0.0, 1 - s) + 0.05)
-            left, at = left - tied, stop
-        toxic = sum(v for v, (_, n) in zip(votes, near) if self.labels[n])
-        return (toxic + PRIOR * prior) / (sum(votes) + PRIOR), [self.ids[n] for _, n in near[:3]]
-
-
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Unit vectors of labelled examples, as postings by term and block; queries are answered a batch at a time.
+
+    Terms are numbered by falling frequency. Postings of the COMMON first terms fill their blocks well and are kept as a
+    matrix a block, the others as lists; both have their largest weight in each block.
+    """
+
+    def __init__(self, rows: list[tuple[object, int, np.ndarray, np.ndarray]], strength: np.ndarray) -> None:
+        """rows: id, label, terms (numbers) and their counts; strength: idf times relevance of each term."""
+        self.strength = strength
+        vectors = [self.vector(names, counts) for _, _, names, counts in rows]
+        order = sorted(range(len(rows)), key=lambda k: (*self._likes(rows[k][2], vectors[k]), k))
+        self.ids = [rows[k][0] for k in order]
+        self.labels = np.array([rows[k][1] for k in order], np.int64)
+        n = len(rows)
+        self.blocks = max(1, -(-n // BLOCK))
+        terms = np.concatenate([np.zeros(0, np.int64), *(rows[k][2] for k in order)]).astype(np.int64)
+        weights = np.concatenate([np.zeros(0), *(vectors[k] for k in order)])
+        places = np.repeat(np.arange(n), [len(vectors[k]) for k in order])
+        self.common = min(COMMON, len(strength))
+        self.dense = np.zeros((self.common, self.blocks * BLOCK))
+        often = terms < self.common
+        self.dense[terms[often], places[often]] = weights[often]
+        self.dense_most = self.dense.reshape(self.common, self.blocks, BLOCK).max(2)
+        terms, places, weights = terms[~often], places[~often], weights[~often]
+        cells = terms * self.blocks + places // BLOCK
+        by_cell = np.argsort(cells, kind="stable")
+        self.places, self.weights, cells = places[by_cell].astype(np.int32), weights[by_cell], cells[by_cell]
+        first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, np.int64)
+        #: For each cell of a term and a block that has postings: where they start, the block, the largest weight.
+        self.starts = np.r_[first, len(cells)]
+        self.block = (cells[first] % self.blocks).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.cells = np.searchsorted(cells[first] // self.blocks, np.arange(len(strength) + 1))
+
+    def _likes(self, names: np.ndarray, w: np.ndarray) -> tuple:
+        """A sort key that brings examples of like strong terms together, then those of like frequent ones."""
+        top = names[np.argsort(-w, kind="stable")[:2]]
+        strong = sorted(int(t) for t in top if self.strength[t] > 1.0)
+        return tuple(strong), tuple(np.sort(names)[:4].tolist())
+
+    def vector(self, names: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(counts)) * self.strength[names]
+        return w / np.sqrt(w @ w) if len(w) else w
+
+    @staticmethod
+    def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All numbers from low to high of each range, and the length of each."""
+        size = high - low
+        return np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size), size
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, counts) the k examples of largest cosine, and all tied with the last, without those of
+        cosine 0: places and cosines. without: a place for each query that it must not find."""
+        n, width = len(queries), self.blocks * BLOCK
+        of = np.repeat(np.arange(n), [len(names) for names, _ in queries])
+        terms = np.concatenate([np.zeros(0, np.int64), *(names for names, _ in queries)])
+        weights = np.concatenate([np.zeros(0), *(self.vector(*q) for q in queries)])
+        often = terms < self.common
+        dense = np.zeros((n, self.common))
+        dense[of[often], terms[often]] = weights[often]
+        of, terms, weights = of[~often], terms[~often], weights[~often]
+        at, size = self._ranges(self.cells[terms], self.cells[terms + 1])
+        of, weights = np.repeat(of, size), np.repeat(weights, size)
+        corner = of * self.blocks + self.block[at]
+        bounds = dense @ self.dense_most + np.bincount(corner, weights * self.most[at], n * self.blocks).reshape(n, -1)
+        scores = np.zeros((n, width))
+
+        def open_blocks(now: np.ndarray) -> None:
+            for b in np.flatnonzero(now.any(0)).tolist():
+                who = np.flatnonzero(now[:, b])
+                scores[who, b * BLOCK : (b + 1) * BLOCK] += dense[who] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
+            some = now.reshape(-1)[corner]
+            posts, lengths = self._ranges(self.starts[at[some]], self.starts[at[some] + 1])
+            spots = self.places[posts] + np.repeat(of[some] * width, lengths)
+            np.add(scores, np.bincount(spots, self.weights[posts] * np.repeat(weights[some], lengths), n * width).reshape(n, width), out=scores)
+            if without is not None:
+                scores[np.arange(n), without] = 0.0
+
+        def least() -> np.ndarray:
+            return np.partition(scores, width - k, axis=1)[:, width - k] if width >= k else np.zeros(n)
+
+        first = np.zeros((n, self.blocks), bool)
+        few = min(FIRST, self.blocks)
+        np.put_along_axis(first, np.argpartition(-bounds, few - 1, axis=1)[:, :few], True, axis=1)
+        open_blocks(first)
+        open_blocks(~first & (bounds > 0) & (bounds >= least()[:, None] - 1e-9))
+        out = []
+        for row, floor in zip(scores, least().tolist()):
+            found = np.flatnonzero(row >= max(1e-12, floor - 1e-9))
+            found = found[np.argsort(-row[found], kind="stable")]
+            out.append((found, row[found]))
+        return out
+
+    def shares(self, queries: list[tuple[np.ndarray, np.ndarray]], rate: float, without: np.ndarray | None = None) -> list[tuple[float, np.ndarray]]:
+        """For each query the share of toxic votes, and the places of the nearest three."""
+        out = []
+        for found, cosine in self.nearest(queries, NEIGHBOURS, without):
+            votes = 1 / (np.maximum(0.0, 1 - cosine) + 0.05)
+            if len(found) > NEIGHBOURS:
+                tied = cosine <= cosine[NEIGHBOURS - 1] + 1e-9
+                votes[tied] *= (NEIGHBOURS - (~tied).sum()) / tied.sum()
+            out.append((float((votes @ self.labels[found] + PRIOR * rate) / (votes.sum() + PRIOR)), found[:3]))
+        return out
+
+
+def _logit(share: np.ndarray) -> np.ndarray:
+    return np.log((share + 0.01) / (1.01 - share))
+
+
+def logistic_fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope of the most likely logistic map, by damped Newton steps with a weak ridge towards slope 1."""
+    beta = np.array([0.0, 1.0])
+    design = np.stack([np.ones(len(x)), x], 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-design @ beta))
+        slope = design.T @ (y - p) - np.array([0.01, 0.01]) * (beta - np.array([0.0, 1.0]))
+        curve = (design * (p * (1 - p))[:, None]).T @ design + 0.01 * np.eye(2)
+        step = np.linalg.solve(curve, slope)
+        beta = beta + step * min(1.0, 2.0 / (1e-12 + np.abs(step).max()))
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(beta[0]), float(max(beta[1], 1e-3))
+
+
+class Scorer:
+    """Scores whole texts: made from examples and document counts alone, so that every executor makes the same."""
+
+    def __init__(self, rows: list[tuple[object, int, dict[str, int]]], n_docs: int, seen: np.ndarray, terms: list[str], fitted: tuple[float, float] | None = None) -> None:
+        labels = np.array([y for _, y, _ in rows], float)
+        self.rate = float(labels.mean()) if len(rows) else 0.0
+        self.both = 0 < self.rate < 1
+        self.fitted = fitted
+        if not self.both:
+            return
+        self.place = {t: k for k, t in enumerate(terms)}
+        idf = 1 + np.log((1 + n_docs) / (1 + seen))
+        numbered = [(i, y, *self._numbers(c)) for i, y, c in rows]
+        self.index = BlockMaxIndex(numbered, idf * relevance(rows, self.place))
+        if fitted is None:
+            where = {k: n for n, k in enumerate(self.index.ids)}
+            shares = []
+            for k in range(0, len(numbered), TOGETHER):
+                some = numbered[k : k + TOGETHER]
+                shares += self.index.shares([(names, n) for _, _, names, n in some], self.rate, np.array([where[i] for i, *_ in some]))
+            self.fitted = logistic_fit(_logit(np.array([x for x, _ in shares])), labels)
+
+    def _numbers(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        found = [(k, n) for t, n in counts.items() if (k := self.place.get(t)) is not None]
+        names, many = zip(*found) if found else ((), ())
+        return np.array(names, np.int64), np.array(many, np.int64)
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list]]:
+        """For each text the calibrated score, and the ids of the three nearest examples."""
+        if not self.both:
+            return [(self.rate, [])] * len(texts)
+        queries = [self._numbers(terms_of(t)) for t in texts]
+        found = self.index.shares(queries, self.rate)
+        a, b = self.fitted
+        scores = 1 / (1 + np.exp(-(a + b * _logit(np.array([x for x, _ in found])))))
+        return [(float(s), [self.index.ids[k] for k in near]) if len(names) else (self.rate, []) for s, (_, near), (names, _) in zip(scores, found, queries)]
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on), evidence (doc_ids of the nearest three examples)."""
-    sample = sampled_labels(labels)
-    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    named = F.broadcast(sample)  # at most 2 * SAMPLE rows of two numbers
-    terms = features(term_counts(docs.select("doc_id", "text").join(named, "doc_id")), sizes.get(0, 0), sizes.get(1, 0))
-    vectors = written(term_vectors(docs, terms))
-    n_docs = vectors.count()
-    seen = {r["t"]: r["n"] for r in vectors.select(F.explode("features").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
-    idf = np.array([1 + np.log((1 + n_docs) / (1 + seen.get(t, 0))) for t in range(len(terms))])
-    trained = vectors.join(named, "doc_id")
-    everyone = {r["label"]: r["n"] for r in usable_labels(labels).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    stands = class_weights(everyone, sizes)
-    bare = {r["label"]: r["n"] for r in trained.filter(F.size("features") == 0).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()} or sizes
-    clean, toxic = (bare.get(y, 0) * stands[y] for y in (0, 1))
-    rate = toxic / (clean + toxic) if clean + toxic else 0.0
-    distinct = written(trained.filter(F.size("features") > 0).groupBy("features", "counts", "label").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")))
-    order = [F.xxhash64("features", "counts"), F.col("doc_id")]
-    chosen = [distinct.filter(F.col("label") == y).orderBy(*order).limit(EXAMPLES) for y in (0, 1)]
-    rows = [(list(r["features"]), list(r["counts"]), r["label"], r["doc_id"], r["n"]) for r in chosen[0].unionByName(chosen[1]).collect()]
-    rows.sort(key=lambda r: (r[0], r[1], r[2]))  # examples alike share blocks, which sharpens the bounds
-    rows, n_rows = [r[:4] for r in rows], [r[4] for r in rows]
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = examples(docs, labels, most)
+    terms = by_frequency(rows)
+    n_docs, seen = document_counts(docs, terms)
+    fitted = Scorer(rows, n_docs, seen, terms).fitted
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = BlockMaxIndex(rows, idf, n_rows)
-        known: dict[tuple, tuple[float, list[int]]] = {}
+        made = Scorer(rows, n_docs, seen, terms, fitted)
         for batch in batches:
-            out = []
-            for names, counts in zip(batch.column("features").to_pylist(), batch.column("counts").to_pylist()):
-                key = (tuple(names), tuple(counts))
-                if key not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    known[key] = index.score(names, counts, rate)
-                out.append(known[key])
-            yield pa.record_batch([batch.column("doc_id"), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
-
-    found = vectors.mapInArrow(scored, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, evidence array<bigint>")
+            texts = batch.column("text").to_pylist()
+            distinct = list(dict.fromkeys(texts))  # copies in a batch are scored once
+            known = {}
+            for k in range(0, len(distinct), TOGETHER):
+                known.update(zip(distinct[k : k + TOGETHER], made.scores(distinct[k : k + TOGETHER])))
+            out = [known[t] for t in texts]
+            ids = pa.array([e for _, e in out], pa.list_(batch.schema.field("doc_id").type))
+            yield pa.record_batch([batch.column("doc_id"), pa.array([s for s, _ in out], pa.float64()), ids], ["doc_id", "score", "evidence"])
+
+    found = docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double, evidence array<{kind}>")
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
