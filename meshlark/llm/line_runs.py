@@ -6,8 +6,9 @@ that follow one another and repeat the same earlier passage make a run, so a pas
 line to its last, whatever stands around it. The first place of every line stays, so no line is lost altogether.
 
 Hashes alone travel first; only runs send their bytes, and each line of a run is compared with that of the earlier place.
-Counts and first places are found with partial aggregates, so a window that a third of all documents share costs no task more
-than its share.
+Counts and first places are found with partial aggregates. The places of a window, or the copies of a run, that are very many
+meet their first place in several tasks: the rows are dealt by a hash and the one row that they meet goes to each of them. So
+a window that a third of all documents share costs no task more than its share.
 
 Native: DataFrame and SQL functions only. Defined results: a null text stays null and has no lines; single lines, and windows
 without any word, are no repeats; of rows with an equal doc_id and text, all lose the same lines; an empty table gives an
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from meshlark.llm.common import WORD, written
+from meshlark.llm.common import WORD, hot_keys, spread_join, written
 from meshlark.llm.line_chunks import keyed
 
 
@@ -37,8 +38,9 @@ def lost_lines(docs: DataFrame, rows: DataFrame) -> DataFrame:
     Texts meet their runs by key in a merge join, as they do in dedup_texts(): one shuffle of `rows` serves both.
     """
     places = written(windows(keyed(docs)))
-    first = places.groupBy("hash", "size").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start")).alias("first")).filter("n > 1").drop("n")
-    again = places.join(first, ["hash", "size"]).filter(F.struct("key", "start") != F.col("first"))
+    first = written(places.groupBy("hash", "size").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start")).alias("first")).filter("n > 1"))
+    hot = hot_keys(first, ["hash", "size"], places.count())
+    again = spread_join(places, first.drop("n"), ["hash", "size"], hot, ["key", "start"]).filter(F.struct("key", "start") != F.col("first"))
     apart = again.select("key", "start", F.col("first.key").alias("origin"), (F.col("start") - F.col("first.start")).alias("delta"))
     starts = apart.groupBy("key", "origin", "delta").agg(F.array_sort(F.collect_set("start")).alias("starts"))
     at = F.array_sort(F.array_union("starts", F.transform("starts", lambda s: s + 1)))
@@ -51,7 +53,8 @@ def lost_lines(docs: DataFrame, rows: DataFrame) -> DataFrame:
     place = lambda i: i + F.coalesce("delta", F.lit(0))
     bodies = found.select("key", "origin", "at", "delta", F.transform("at", lambda i: F.get("lines", place(i))).alias("body"))
     original = bodies.filter("delta IS NULL").groupBy("origin", "at").agg(F.first("body").alias("original"))
-    both = bodies.filter("delta IS NOT NULL").join(original.hint("merge"), ["origin", "at"])
+    copied = runs.groupBy("origin", "at").agg(F.count(F.lit(1)).alias("n"))
+    both = spread_join(bodies.filter("delta IS NOT NULL"), original, ["origin", "at"], hot_keys(copied, ["origin", "at"], runs.count()), ["key", "delta"], "merge")
     good = F.transform(F.filter(F.arrays_zip("at", "body", "original"), lambda x: x["body"] == x["original"]), lambda x: x["at"])
     paired = F.filter(good, lambda i: F.array_contains(good, i - 1) | F.array_contains(good, i + 1))  # after a collision only
     same = both.select("key", "delta", F.when(F.col("body") == F.col("original"), F.col("at")).otherwise(paired).alias("at"))

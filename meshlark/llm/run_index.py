@@ -9,11 +9,17 @@ same place in them, and the windows of one anchor lie next to each other in a se
     Burrows-Wheeler transform, keeps only its runs with the suffixes sampled at run ends, and streams matching statistics:
     inside a run the neighbour of the next suffix in the text is the next suffix of the neighbour, so a match found at a
     sample only loses a byte a step until the next sample. Windows that match a neighbour over LENGTH bytes are marked.
-Hashes of segments have 128 bits. Anchors with more than HOT distinct segments never meet in a task: their windows are
-counted by hash instead, with partial sums, which decides the same.
+Sorting holds a full order of the suffixes of one index at a time, SUFFIX_BYTES bytes for a byte of text; what is kept and
+queried are the runs. An index holds at most INDEX_BYTES of text and one anchor more. An anchor of more than ANCHOR_BYTES
+of distinct segments never meets in a task: its windows are counted by two hashes of 64 bits each instead, with partial
+sums, which decides the same.
+
+Equal segments are told by hashes of 128 bits, not byte by byte: with 10^15 segments a false pair has a chance of 10^-9.
+Anchors of very many segments are met in several tasks (see common.spread_join), as are segments of very many copies.
 
 Defined results: a null or empty text has no bytes and loses none; a repeat inside one document counts; copies, however
-many, are all removed, the first included; a text below LENGTH bytes keeps all; an empty table gives an empty result.
+many, are all removed, the first included; a text below LENGTH bytes keeps all; rows with an equal doc_id are told apart by
+their text, and equal rows are copies of each other; texts of any length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,18 +31,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from meshlark.llm.common import partitions, text_of, written
+from meshlark.llm.common import hot_keys, partitions, spread_join, text_of, written
 
 LENGTH, Q = 400, 64
-#: Bytes of text in one index, and segments of one anchor beyond which it is split by windows.
-INDEX_BYTES, HOT = 1_000_000, 50_000
+#: Bytes of text in one index, and distinct bytes of one anchor beyond which it is split by windows.
+INDEX_BYTES, ANCHOR_BYTES = 1_000_000, 5_000_000
+#: What building an index holds for a byte of its text; a test measures it.
+SUFFIX_BYTES = 60
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
-
-def gram_hashes(data: np.ndarray, q: int) -> np.ndarray:
+def gram_hashes(data: np.ndarray, q: int, base: np.uint64 = _BASE) -> np.ndarray:
     """A hash of every run of q bytes, by doubling."""
     codes = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    h, width, power = codes[data], 1, _BASE
+    h, width, power = codes[data], 1, base
     done, total = None, 0
     with np.errstate(over="ignore"):
         while True:
@@ -94,35 +101,38 @@ def suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     ends = np.cumsum([len(t) + 1 for t in texts]) - 1
     n = int(ends[-1]) + 1
-    symbols = np.zeros(n, np.int64)
+    symbols = np.zeros(n, np.int16)
     body = np.ones(n, bool)
     body[ends] = False
-    symbols[body] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
+    symbols[body] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int16) + 1
     lengths = np.diff(np.r_[-1, ends])
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    left = np.repeat(ends, lengths) - np.arange(n)  # bytes before the end mark
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+    left = np.repeat(ends.astype(np.int32), lengths) - np.arange(n, dtype=np.int32)  # bytes before the end mark
     key = np.zeros(n, np.int64)
     for k in range(7):
-        key = key * 257
+        key *= 257
         key[: n - k] += np.where(left[: n - k] >= k, symbols[k:], 0)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
     h = 7
-    change = np.r_[True, key[order[1:]] != key[order[:-1]]]
-    rank = np.zeros(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(change, np.arange(n), 0))
+    change = np.r_[True, key[1:] != key[:-1]]
+    del key, body
+    rank = np.zeros(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(change, np.arange(n, dtype=np.int32), 0))
     # tied suffixes are those whose group holds more than one
     while True:
-        size_one = change & np.r_[change[1:], True]
-        tied = np.flatnonzero(~size_one)
+        tied = np.flatnonzero(~(change & np.r_[change[1:], True])).astype(np.int32)
         if not len(tied):
             return symbols, order, ends
         of = order[tied]
-        second = np.where(left[of] >= h, rank[np.minimum(of + h, n - 1)] + len(texts), owner[of])
-        both = rank[of] * (n + len(texts) + 1) + second
+        both = rank[of].astype(np.int64)
+        both *= n + len(texts) + 1
+        both += np.where(left[of] >= h, rank[np.minimum(of.astype(np.int64) + h, n - 1)] + np.int32(len(texts)), owner[of])
         again = np.argsort(both)
         order[tied] = of[again]
         both = both[again]
         fresh = np.r_[True, both[1:] != both[:-1]]
+        del both, again
         change[tied] = fresh
         rank[order[tied]] = np.maximum.accumulate(np.where(fresh, tied, 0))
         h *= 2
@@ -134,33 +144,36 @@ def matches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n = len(order)
     before = symbols[order - 1]
     before[order == 0] = 0
-    left = np.repeat(ends, np.diff(np.r_[-1, ends])) - np.arange(n)
-    # runs of the transform; an end mark is a run of its own
-    head = np.r_[True, (before[1:] != before[:-1]) | (before[1:] == 0)]
-    heads = np.flatnonzero(head)
+    left = np.repeat(ends.astype(np.int32), np.diff(np.r_[-1, ends])) - np.arange(n, dtype=np.int32)
+    # runs of the transform; an end mark is a run of its own. Of the order only the suffixes at run ends stay.
+    heads = np.flatnonzero(np.r_[True, (before[1:] != before[:-1]) | (before[1:] == 0)])
     tails = np.r_[heads[1:] - 1, n - 1]
+    samples = [(order[heads[1:]], order[heads[1:] - 1], int(order[0])), (order[tails[:-1]], order[tails[:-1] + 1], int(order[-1]))]
+    del order, before
     data = np.zeros(n + 8, np.uint8)
     data[:n] = np.maximum(symbols - 1, 0)
-    words = np.lib.stride_tricks.sliding_window_view(data, 8)[: n + 1].copy().view("<u8").ravel()  # eight bytes from each place on
-    best = np.zeros(n, np.int64)
-    for sampled, neighbour, edge in ((heads[1:], heads[1:] - 1, order[0]), (tails[:-1], tails[:-1] + 1, order[-1])):
-        at, other = order[sampled], order[neighbour]
-        match = np.zeros(len(at), np.int64)
+    del symbols
+    word = np.lib.stride_tricks.sliding_window_view(data, 8)
+    read = lambda at: word[at].copy().view("<u8").ravel()  # eight bytes from each place on
+    best = np.zeros(n, np.int32)
+    for at, other, edge in samples:
+        match = np.zeros(len(at), np.int32)
         room = np.minimum(left[at], left[other])
         open_ = np.arange(len(at))
         while len(open_):  # compare from the samples on, a word at a time
             m = match[open_]
-            differ = words[at[open_] + m] ^ words[other[open_] + m]
+            differ = read(at[open_] + m) ^ read(other[open_] + m)
             low = differ & (~differ + np.uint64(1))
-            same = np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)) >> 3).astype(np.int64)
+            same = np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)) >> 3).astype(np.int32)
             match[open_] = np.minimum(m + same, room[open_])
             open_ = open_[(same == 8) & (match[open_] < room[open_])]
         # stream over the text: from a sample to the next a match loses a byte a step
-        value = np.full(n, -1, np.int64)
+        value = np.full(n, -1, np.int32)
         value[at] = match
         value[edge] = 0
-        spot = np.maximum.accumulate(np.where(value >= 0, np.arange(n), -1))
-        best = np.maximum(best, np.where(spot >= 0, value[spot] - (np.arange(n) - spot), 0))
+        spot = np.maximum.accumulate(np.where(value >= 0, np.arange(n, dtype=np.int32), np.int32(-1)))
+        found = value[spot] - (np.arange(n, dtype=np.int32) - spot)
+        best = np.maximum(best, np.where(spot >= 0, found, 0))
     return best, ends
 
 
@@ -240,12 +253,13 @@ def _index_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of hot anchors to a row for each window: its place and the halves of its hash."""
+    """Segments of large anchors to a row for each window: its place and two hashes of it."""
     for batch in batches:
         for h, a, b, s in zip(*(batch.column(c).to_pylist() for c in ("hash", "a", "b", "segment"))):
-            n = len(s) - LENGTH + 1
-            x, y = zip(*(_halves(s[k : k + LENGTH]) for k in range(n)))
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in ([h] * n, [a] * n, [b] * n, list(range(n)), x, y)], ["hash", "a", "b", "low", "x", "y"])
+            data = np.frombuffer(s, np.uint8)
+            x, y = (gram_hashes(data, LENGTH, base).view(np.int64) for base in (_BASE, np.uint64(0xC2B2AE3D27D4EB4F)))
+            fixed = [np.full(len(x), c, np.int64) for c in (h, a, b)]
+            yield pa.record_batch([pa.array(c) for c in (*fixed, np.arange(len(x)), x, y)], ["hash", "a", "b", "low", "x", "y"])
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,30 +293,34 @@ def repeated(rows: DataFrame) -> DataFrame:
     kind = dict(rows.dtypes)["row"]
     span = "array<struct<first:bigint,last:bigint>>"
     every = written(rows.mapInArrow(_anchor_rows, f"row {kind}, hash bigint, first bigint, last bigint, a bigint, b bigint, more {span}"))
-    often = every.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.count("more").alias("m")).filter("n > 1 OR m > 0").select("hash")
-    found = written(every.join(often, "hash", "left_semi"))
+    often = written(every.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.count("more").alias("m")).filter("n > 1 OR m > 0"))
+    hot = hot_keys(often, ["hash"], every.count())
+    found = written(spread_join(every, often.select("hash"), ["hash"], hot, ["row", "first"]))
     same = found.groupBy("hash", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.count("more").alias("m"), F.min(F.struct("row", "first", "last")).alias("one"))
-    same = written(same.select("hash", "a", "b", "one", F.expr("n > 1 OR m > 0").alias("repeats")))
-    mixed = written(same.groupBy("hash").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"))
+    same = written(same.select("hash", "a", "b", "one", "n", F.expr("n > 1 OR m > 0").alias("repeats")))
+    of_bytes = F.sum(F.col("one.last") - F.col("one.first") + LENGTH).alias("bytes")
+    mixed = written(same.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), of_bytes).filter("texts > 1"))
     # the index reads each segment's text from one of its places
     place = F.struct("hash", "a", "b", F.col("one.first").alias("first"), F.col("one.last").alias("last"))
     wanted = same.join(mixed, "hash").groupBy(F.col("one.row").alias("row")).agg(F.collect_list(place).alias("wanted"))
     segments = rows.join(wanted, "row").select("text", "wanted").mapInArrow(_segment_rows, "hash bigint, a bigint, b bigint, segment binary")
-    hot = mixed.filter(F.col("texts") > HOT).select("hash")
+    large = mixed.filter(F.col("bytes") > ANCHOR_BYTES).select("hash")
     counted = None
-    if not hot.isEmpty():
+    if not large.isEmpty():
         segments = written(segments)
-        windows = written(segments.join(hot, "hash", "left_semi").mapInArrow(_window_rows, "hash bigint, a bigint, b bigint, low bigint, x bigint, y bigint"))
-        twice = windows.groupBy("hash", "x", "y").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        counted = windows.join(twice, ["hash", "x", "y"]).select("hash", "a", "b", "low", F.col("low").alias("high"))
-        segments = segments.join(hot, "hash", "left_anti")
+        windows = written(segments.join(large, "hash", "left_semi").mapInArrow(_window_rows, "hash bigint, a bigint, b bigint, low bigint, x bigint, y bigint"))
+        twice = written(windows.groupBy("hash", "x", "y").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        shared = spread_join(windows, twice.drop("n"), ["hash", "x", "y"], hot_keys(twice, ["hash", "x", "y"], windows.count()), ["a", "b", "low"])
+        counted = shared.select("hash", "a", "b", "low", F.col("low").alias("high"))
+        segments = segments.join(large, "hash", "left_anti")
     dealt = segments.repartition(partitions(rows.sparkSession), "hash").sortWithinPartitions("hash", "a", "b")
     marks = dealt.mapInArrow(_index_task, "hash bigint, a bigint, b bigint, low bigint, high bigint")
     marks = marks if counted is None else marks.unionByName(counted)
     # a mark holds for every place of its segment
     whole = same.filter("repeats").select("hash", "a", "b", F.lit(0).cast("long").alias("low"), F.lit(1 << 40).alias("high"))
     marks = marks.unionByName(whole).groupBy("hash", "a", "b").agg(F.collect_list(F.struct("low", "high")).alias("marks"))
-    placed = found.select("row", "hash", "first", "last", "a", "b").join(marks, ["hash", "a", "b"])
+    keys = ["hash", "a", "b"]
+    placed = spread_join(found.select("row", "first", "last", *keys), marks, keys, hot_keys(same, keys, found.count()), ["row", "first"])
     each = placed.select("row", "first", "last", F.explode("marks").alias("m"))
     starts = each.select("row", (F.col("first") + F.col("m.low")).alias("from"), F.least("last", F.col("first") + F.col("m.high")).alias("to"))
     more = found.select("row", F.explode_outer("more").alias("m")).filter("m IS NOT NULL").select("row", F.col("m.first").alias("from"), F.col("m.last").alias("to"))

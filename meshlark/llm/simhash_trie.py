@@ -14,7 +14,6 @@ words than a shingle is one shingle; repeated rows share a class; an empty table
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from meshlark.llm.common import partitions, written
+from meshlark.llm.common import hot_keys, partitions, spread_join, written
 from meshlark.llm.components import components
 
 #: Fingerprints under one node pair that a task takes as they are.
@@ -56,13 +55,6 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signature(text: str, words: int, length: int) -> list[int]:
-    """`length` words of 64 signed bits each, by independent hashes of the set of shingles."""
-    h = np.unique(shingle_hashes(text, words))
-    found = [majority(_mixed(h, k)) if len(h) else 0 for k in range(length)]
-    return [x - (1 << 64) if x >> 63 else x for x in found]
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -96,11 +88,12 @@ class Forest:
                 self.parent = up
 
 
-def trie_join(values: np.ndarray, pairs: np.ndarray, depth: int, budget: int, linked) -> None:
-    """Descend node pairs together. values: sorted within each node, left-justified in 64 bits.
+def trie_join(values: np.ndarray, pairs: np.ndarray, depth: int, budget: int, linked, end: int = 64, crowd=None) -> None:
+    """Descend node pairs together. values: sorted within each node, left-justified in 64 bits, `end` bits of them used.
 
     pairs: rows of (from, to, other from, other to, errors); a node with itself has equal ranges. Calls linked(i, j) with
-    the places of pairs that differ in at most `budget` bits, batch by batch.
+    the places of pairs that differ in at most `budget` bits, batch by batch. Pairs of leaves of more than AT_ONCE pairs go
+    to crowd(members) where it is given: all their members differ in at most `budget` bits.
     """
 
     def compare(some: np.ndarray) -> None:
@@ -126,7 +119,12 @@ def trie_join(values: np.ndarray, pairs: np.ndarray, depth: int, budget: int, li
         if len(some) > AT_ONCE // 8:
             stack += [(d, some[: len(some) // 2]), (d, some[len(some) // 2 :])]
             continue
-        small = ((some[:, 1] - some[:, 0]) * (some[:, 3] - some[:, 2]) <= LEAF) | (d >= 64)
+        product = (some[:, 1] - some[:, 0]) * (some[:, 3] - some[:, 2])
+        small = (product <= LEAF) | (d >= end)
+        if crowd is not None and d >= end:
+            for a0, a1, b0, b1, _ in some[product > AT_ONCE].tolist():
+                crowd(np.union1d(np.arange(a0, a1), np.arange(b0, b1)))
+            some, small = some[product <= AT_ONCE], small[product <= AT_ONCE]
         compare(some[small])
         some = some[~small]
         if not len(some):
@@ -166,20 +164,12 @@ def _node_tables(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.T
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _task(budget: int, most_bits: int | None, words: int):
+def _task(budget: int):
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _node_tables(batches, 200_000):
             node, side = table["node"].to_numpy(), table["side"].to_numpy()
             values, ids = table["value"].to_numpy().view(np.uint64), table["id"].to_numpy()
-            sigs = table["signature"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, words) if most_bits is not None else None
             forest = Forest(len(ids))
-
-            def linked(i: np.ndarray, j: np.ndarray) -> None:
-                if sigs is not None:
-                    near = np.bitwise_count(sigs[i] ^ sigs[j]).sum(1) <= most_bits
-                    i, j = i[near], j[near]
-                forest.join(i, j)
-
             starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
             ends = np.r_[starts[1:], len(node)]
             depths, errors = table["depth"].to_numpy()[starts], table["errors"].to_numpy()[starts]
@@ -191,7 +181,7 @@ def _task(budget: int, most_bits: int | None, words: int):
                 kept = (starts < np.where(cross, middle, ends)) & (np.where(cross, middle, starts) < ends)
                 depths = depths[kept]
             for d in np.unique(depths):
-                trie_join(values, one[depths == d], int(d), budget, linked)
+                trie_join(values, one[depths == d], int(d), budget, forest.join)
             child = np.flatnonzero(forest.parent != np.arange(len(ids)))
             u, v = ids[child], ids[forest.parent[child]]
             yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
@@ -209,14 +199,13 @@ def _children(nodes: DataFrame, budget: int) -> DataFrame:
     side = F.when(alone, 0).when(F.col("side") > 0, F.col("side")).when(F.col("child") < F.col("other"), 1).otherwise(2).cast("int")
     first = F.when(side == 2, F.col("other")).otherwise(F.col("child"))
     second = F.when(side == 2, F.col("child")).otherwise(F.col("other"))
-    return pairs.select(F.xxhash64("node", first, second).alias("node"), side.alias("side"), "value", "id", "signature", (F.col("depth") + 4).alias("depth"), F.col("more").cast("int").alias("errors"))
+    return pairs.select(F.xxhash64("node", first, second).alias("node"), side.alias("side"), "value", "id", (F.col("depth") + 4).alias("depth"), F.col("more").cast("int").alias("errors"))
 
 
-def links(leaves: DataFrame, tables: list[Column], bits: int, budget: int, most_bits: int | None = None, words: int = 1) -> DataFrame:
-    """A spanning forest (u, v) of the ids whose values, in one table at least, differ in at most `budget` of `bits` bits.
+def entered(leaves: DataFrame, tables: list[Column], bits: int, budget: int, *more: str) -> DataFrame:
+    """The nodes at which tries are entered: node, value (left-justified), id, signature and further columns of the leaves.
 
-    leaves: id, signature (array<bigint>), one row a distinct fingerprint. tables: the values, `bits` low bits each. With
-    most_bits, linked signatures must also differ in at most that many of all their bits.
+    tables: the values, `bits` low bits each. Each is entered once with each of its budget + 1 blocks of bits in front.
     """
     width = bits // (budget + 1)
     mask = -1 if bits == 64 else (1 << bits) - 1
@@ -226,10 +215,18 @@ def links(leaves: DataFrame, tables: list[Column], bits: int, budget: int, most_
             k = r * width
             turned = x if not k else F.shiftleft(x, k).bitwiseOR(F.shiftrightunsigned(x, bits - k)).bitwiseAND(F.lit(mask))
             views.append(F.struct(F.lit(t * (budget + 1) + r).alias("view"), (F.shiftleft(turned, 64 - bits) if bits < 64 else turned).alias("value")))
-    entered = leaves.select("id", "signature", F.explode(F.array(*views)).alias("v"))
-    block = F.shiftrightunsigned(F.col("v.value"), 64 - width)
-    zero = F.lit(0)
-    nodes = entered.select(F.xxhash64("v.view", block).alias("node"), zero.alias("side"), F.col("v.value").alias("value"), "id", F.col("signature") if most_bits is not None else F.lit(None).cast("array<bigint>").alias("signature"), F.lit(width).alias("depth"), zero.alias("errors"))
+    each = leaves.select("id", "signature", *more, F.explode(F.array(*views)).alias("v"))
+    return each.select(F.xxhash64("v.view", F.shiftrightunsigned(F.col("v.value"), 64 - width)).alias("node"), F.col("v.value").alias("value"), "id", "signature", *more)
+
+
+def links(leaves: DataFrame, fingerprint: Column, bits: int, budget: int) -> DataFrame:
+    """A spanning forest (u, v) of the ids whose fingerprints differ in at most `budget` of `bits` bits.
+
+    leaves: id and what `fingerprint` reads, one row a distinct fingerprint.
+    """
+    zero, width = F.lit(0), bits // (budget + 1)
+    bare = leaves.withColumn("signature", F.lit(None).cast("array<bigint>"))
+    nodes = entered(bare, [fingerprint], bits, budget).select("node", zero.alias("side"), "value", "id", F.lit(width).alias("depth"), zero.alias("errors"))
     large = written(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > NODE_ROWS).select("node"))
     ready = []
     while not large.isEmpty():
@@ -241,49 +238,15 @@ def links(leaves: DataFrame, tables: list[Column], bits: int, budget: int, most_
     for more in ready[1:]:
         every = every.unionByName(more)
     dealt = every.repartition(partitions(leaves.sparkSession), "node").sortWithinPartitions("node", "side", F.col("value").bitwiseXOR(F.lit(-(1 << 63))))
-    return dealt.mapInArrow(_task(budget, most_bits, words), "u bigint, v bigint")
+    return dealt.mapInArrow(_task(budget), "u bigint, v bigint")
 
 
 def classes(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the least doc_id that links of at most `budget` bits reach."""
     prints = written(fingerprints(docs, words))
-    leaves = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id")).filter("id IS NOT NULL")
-    leaves = written(leaves)
-    found = components(links(leaves.withColumn("signature", F.lit(None).cast("array<bigint>")), [F.col("fingerprint")], 64, budget))
-    named = leaves.join(found, leaves["id"] == found["node"], "left").select("fingerprint", F.coalesce("component", "id").alias("component_id"))
+    distinct = written(prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("id")))
+    found = components(links(distinct.filter("id IS NOT NULL"), F.col("fingerprint"), 64, budget))
+    named = distinct.join(found, distinct["id"] == found["node"], "left").select("fingerprint", F.coalesce("component", "id").alias("component_id"))
     text = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
-    return prints.join(named, "fingerprint", "left").select("doc_id", text.alias("fingerprint"), "component_id")
-
-
-def bits_for(similarity: float, bits: int, slack: float) -> int:
-    """How many of `bits` bits two sets of that Jaccard similarity, equal in size, differ in on average, plus slack."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(bits * (math.acos(cosine) / math.pi + slack))
-
-
-def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, length: int = 8, bits: int = 20, budget: int = 1, slack: float = 0.02) -> DataFrame:
-    """doc_id and group (its least doc_id) by similarity of shingle sets.
-
-    One fingerprint of 64 bits can't tell a similarity of 0.8: such pairs differ in about ten bits. So each document has
-    `length` words of 64 independent bits; each half word is a trie of its own, joined on its leading `bits` with a small
-    budget, and a candidate is linked when all 64 * length bits together put its similarity at the threshold. `slack`
-    allows for the standard error of that estimate (0.016 of the bits at length 8).
-    """
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sigs = [signature(t or "", words, length) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "signature"])
-
-    prints = written(docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(made, "doc_id bigint, signature array<bigint>"))
-    leaves = written(prints.groupBy("signature").agg(F.min("doc_id").alias("id")))
-    half = lambda k: F.shiftrightunsigned(F.shiftleft(F.element_at("signature", k // 2 + 1), 32 * (k % 2)), 64 - bits)
-    found = components(links(leaves, [half(k) for k in range(2 * length)], bits, budget, bits_for(similarity, 64 * length, slack), length))
-    named = leaves.join(found, leaves["id"] == found["node"], "left").select("signature", F.coalesce("component", "id").alias("group"))
-    return prints.join(named, "signature").select("doc_id", "group")
-
-
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs`, all columns, but those whose group has a smaller doc_id. Rows without a doc_id stay."""
-    drop = near_groups(docs, words, similarity).filter("doc_id != group").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti")
+    hot = hot_keys(distinct, ["fingerprint"], prints.count())  # of many equal texts, or empty ones
+    return spread_join(prints, named, ["fingerprint"], hot, ["doc_id"]).select("doc_id", text.alias("fingerprint"), "component_id")

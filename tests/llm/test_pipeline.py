@@ -14,7 +14,7 @@ def test_stages_take_effect(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         counts.append(docs.count())
         if name == "quality_rules":
-            clean = rule_ledger.ledger(P.documents(spark, sf)).filter(rule_ledger.verdict("prose-1")).count()
+            clean = rule_ledger.ledger(P.documents(spark, sf)).filter(rule_ledger.verdict("corpus-1")).count()
             assert counts[-1] == clean < counts[0]
         if name == "line_dedup":
             assert counts[-1] == counts[-2]

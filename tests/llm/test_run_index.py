@@ -15,10 +15,15 @@ def brute(texts, length):
         for k in range(len(t) - length + 1):
             if times[t[k : k + length]] > 1:
                 gone[k : k + length] = True
-        out[i] = bytes(np.frombuffer(t, np.uint8)[~gone])
+        spans = int(np.count_nonzero(np.diff(np.r_[0, gone.astype(np.int8)]) == 1))
+        out[i] = len(t), int(gone.sum()), spans, bytes(np.frombuffer(t, np.uint8)[~gone])
     return out
 
 
+def whole(rows):
+    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["removed"]), bytes(r["kept"])) for r in rows.collect()}
+
+
 def test_matching_statistics_equal_brute_force():
     rng = random.Random(2)
     for _ in range(40):
@@ -60,14 +65,55 @@ def passages(spark):
 
 def test_removal_equals_brute_force(spark):
     docs, texts = passages(spark)
-    got = {r["doc_id"]: bytes(r["kept"]) for r in R.remove_repeats(docs).collect()}
-    assert got == brute(texts, R.LENGTH)
+    assert whole(R.remove_repeats(docs)) == brute(texts, R.LENGTH)
+
+
+def test_query_equals_brute_force_over_a_whole_table(spark):
+    """The registered query, all its columns, over a whole table."""
+    import hashlib
+
+    from meshlark.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = {i: (n, gone, spans, hashlib.sha256(kept).hexdigest()) for i, (n, gone, spans, kept) in brute(texts, 400).items()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in QUERIES["op2_run_index"](spark, sf).collect()}
+    assert got == want and any(gone for _, gone, _, _ in want.values())
+
+
+def test_large_anchors_are_counted_by_window(spark, monkeypatch):
+    """All anchors beyond the bound, and the bound between the anchors: the result is the same."""
+    docs, texts = passages(spark)
+    want = brute(texts, R.LENGTH)
+    for most in (1, 2500):
+        monkeypatch.setattr(R, "ANCHOR_BYTES", most)
+        assert whole(R.remove_repeats(docs)) == want
 
 
-def test_hot_anchors_are_counted_by_window(spark, monkeypatch):
-    monkeypatch.setattr(R, "HOT", 2)
+def test_hot_segments_and_anchors_are_met_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr("meshlark.llm.common.LEAST_HOT", 3)
     docs, texts = passages(spark)
-    assert {r["doc_id"]: bytes(r["kept"]) for r in R.remove_repeats(docs).collect()} == brute(texts, R.LENGTH)
+    many = {**texts, **{100 + k: texts[3] for k in range(30)}}
+    rows = docs.unionByName(docs.filter("doc_id = 3").selectExpr("explode(sequence(100, 129)) AS d", "*").drop("doc_id").selectExpr("CAST(d AS bigint) AS doc_id", "* EXCEPT (d)"))
+    assert whole(R.remove_repeats(rows)) == brute(many, R.LENGTH)
+
+
+def test_memory_of_an_index_is_bounded():
+    import tracemalloc
+
+    rng = random.Random(1)
+    base = bytes(rng.randrange(97, 105) for _ in range(600))
+    texts = []
+    for _ in range(1600):
+        t = bytearray(base)
+        for _ in range(3):
+            t[rng.randrange(600)] = rng.randrange(97, 123)
+        texts.append(bytes(t))
+    tracemalloc.start()
+    R.matches(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < R.SUFFIX_BYTES * sum(map(len, texts)) and R.SUFFIX_BYTES * (R.INDEX_BYTES + R.ANCHOR_BYTES) < 500e6
 
 
 def test_odd_rows(spark):

@@ -58,27 +58,3 @@ def test_odd_rows(spark):
     got = {(r["doc_id"], r["component_id"]) for r in S.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 4)}
     assert S.classes(spark.createDataFrame([], SCHEMA)).count() == 0
-
-
-def test_near_groups_catch_small_edits_and_leave_others(spark):
-    rng = random.Random(1)
-    vocabulary = [f"w{k}" for k in range(5000)]
-    rows, near = [], {}
-    for i in range(0, 120, 2):
-        words = rng.choices(vocabulary, k=300)
-        rows.append((i, " ".join(words), "en", "s", 1, None))
-        words[rng.randrange(300)] = "edited"
-        words[rng.randrange(300)] = "twice"
-        rows.append((i + 1, " ".join(words), "en", "s", 1, None))
-        near[i + 1] = near[i] = i
-    docs = spark.createDataFrame(rows, SCHEMA)
-    got = {r["doc_id"]: r["group"] for r in S.near_groups(docs).collect()}
-    assert sum(got[i] == near[i] for i in near) >= 0.97 * len(near)
-    assert all(got[i] in (i, near[i]) for i in near)
-    kept = S.keep_one(docs)
-    assert kept.columns == docs.columns and kept.filter("doc_id % 2 = 0").count() == 60
-    assert S.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
-
-
-def test_bits_for():
-    assert S.bits_for(1.0, 512, 0) == 0 and 70 < S.bits_for(0.8, 512, 0) < 80
