@@ -3,12 +3,13 @@
 A document is cut at multiples of the capacity; full windows are finished at once and only remainders are packed.
 Remainders are dealt into batches of a bounded size. In a batch every remainder starts as a partition of its own; the two
 partitions with the largest spreads merge with opposing imbalances, the fullest windows of one onto the emptiest of the
-other, until one partition is left. If a window exceeds the capacity, the window count rises and differencing starts again.
-The near-equal windows that result leave a little slack each; the emptiest windows are then cut up to fill that slack, so
-that a batch ends with at most one window that isn't full.
+other, until one partition is left. Differencing starts at the least window count; the count rises while windows exceed
+the capacity by more than EXCESS of all ids. Documents may be cut, so that last excess (0.7 % of the ids at 2048 remainders
+of 700 ids) is cut off and fills windows with room; differencing decides the place of all other ids.
 
-Defined results: a null or empty text is the end id alone; rows with an equal doc_id are packed each; an empty table gives
-no piece.
+Batches are dealt by doc_id and place in the input, so that many equal rows spread over all of them. Defined results: a null
+or empty text is the end id alone; rows with an equal doc_id are packed each; an empty table gives no piece; texts of any
+length are read whole.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from meshlark.llm.token_counts import slices
 
 #: Documents whose remainders are packed together.
 BATCH = 2048
+#: The share of ids that may be cut off overfull windows before the window count rises.
+EXCESS = 0.02
 
 
 def differencing(lengths: list[int], windows: int) -> list[list[int]]:
@@ -69,42 +72,44 @@ def differencing(lengths: list[int], windows: int) -> list[list[int]]:
 
 
 def windows_of(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Windows as lists of (item, start in the item, length), each of at most `capacity`."""
+    """Windows as lists of (item, start in the item, length), each of at most `capacity`.
+
+    The partition is the one that differencing makes. The window count rises while more than EXCESS of all ids lie beyond
+    the capacity of their windows; what then lies beyond is cut off the last item of its window, and goes to windows with
+    room. All other ids stay where differencing put them.
+    """
     total = sum(lengths)
     count = -(-total // capacity)
     while True:
         groups = differencing(lengths, count)
-        if all(sum(lengths[i] for i in g) <= capacity for g in groups):
+        sums = [sum(lengths[i] for i in g) for g in groups]
+        if sum(max(0, s - capacity) for s in sums) <= EXCESS * total:
             break
         count += max(1, count // 100)
-    filled = sorted(((sum(lengths[i] for i in g), [(i, 0, lengths[i]) for i in sorted(g)]) for g in groups), key=lambda g: (-g[0], g[1]))
-    out, spare = [], []
-    first, last = 0, len(filled) - 1
-    while first <= last:
-        used, pieces = filled[first]
-        first += 1
-        while used < capacity and (spare or first <= last):
-            if not spare:
-                spare = filled[last][1][::-1]
-                last -= 1
-            i, start, length = spare.pop()
+    out, cut = [], []
+    for group, used in zip(groups, sums):
+        pieces = [(i, 0, lengths[i]) for i in sorted(group)]
+        while used > capacity:
+            i, start, length = pieces.pop()
+            gone = min(length, used - capacity)
+            cut.append((i, start + length - gone, gone))
+            if gone < length:
+                pieces.append((i, start, length - gone))
+            used -= gone
+        out.append((used, pieces))
+    out += [(0, [])] * (count - len(groups))  # fewer items than windows
+    done = []
+    for used, pieces in sorted(out, key=lambda w: -w[0]):
+        while cut and used < capacity:
+            i, start, length = cut.pop()
             take = min(length, capacity - used)
             pieces = [*pieces, (i, start, take)]
             if take < length:
-                spare.append((i, start + take, length - take))
-            used += take
-        out.append(pieces)
-    while spare:
-        used, pieces = 0, []
-        while spare and used < capacity:
-            i, start, length = spare.pop()
-            take = min(length, capacity - used)
-            pieces.append((i, start, take))
-            if take < length:
-                spare.append((i, start + take, length - take))
+                cut.append((i, start + take, length - take))
             used += take
-        out.append(pieces)
-    return out
+        if pieces:
+            done.append(pieces)
+    return done
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
@@ -114,7 +119,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
     """
     batches = max(1, -(-docs.count() // BATCH))
     kind = dict(docs.dtypes)["doc_id"]
-    keyed = docs.select("doc_id", text_of().alias("text")).withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
+    keyed = docs.select("doc_id", text_of().alias("text")).withColumn("batch", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(batches)))
 
     def crc(ids: np.ndarray) -> int:
         return zlib.crc32(ids.astype("<u4").tobytes())

@@ -3,10 +3,13 @@
 Documents and virtual nodes hash onto a ring of CELLS cells; a document's home is the first virtual node clockwise. Every
 shard has a bound, the mean load rounded down or up, and what overflows a full shard goes on clockwise to the next one with
 room. Home documents go first, so only the overflow moves. The plan needs one count a cell (at most CELLS, whatever the
-corpus) and is made on the driver; documents take their shard from their rank in their cell.
+corpus) and is made on the driver; documents take their shard from their rank in their cell. A cell of very many documents,
+such as that of all rows without a doc_id, is ranked in lots, which several tasks share.
 
 Native: DataFrame and SQL functions only. Defined results: a null text has size 1 and the checksum of no bytes; rows with
-an equal doc_id share a home and are ranked by checksum; an empty table gives no rows.
+an equal doc_id, null among them, share a home and are ranked by checksum and size, equal rows as they come; a doc_id may
+have any type that can be ordered; texts of any length are read whole; an empty table gives no rows. Reruns over the same
+files agree.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from bisect import bisect_left
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from meshlark.llm.common import hot_keys, written
+
 #: Cells of the ring, a power of two: the bound on what is collected and broadcast.
 CELLS = 1 << 14
 VIRTUAL = 64
@@ -66,15 +71,27 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits).cast("int").alias("cell"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    counts = {r["cell"]: r["n"] for r in docs.select(F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits).cast("int").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    keyed = written(keyed)  # no text: a few numbers a row, and equal rows told apart once and for all
+    counted = written(keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
+    counts = {r["cell"]: r["n"] for r in counted.collect()}
+    hot = hot_keys(counted, ["cell"], sum(counts.values()))
     steps: dict[int, list] = {}
     for cell, rank, s, slot in plan(counts, shards):
         steps.setdefault(cell, []).append([rank, s, slot])
     text = json.dumps([{"cell": c, "steps": [{"rank": r, "shard": s, "slot": k} for r, s, k in sorted(x)]} for c, x in steps.items()])
     kind = "array<struct<cell:int,steps:array<struct<rank:bigint,shard:int,slot:bigint>>>>"
     table = spark.range(1).select(F.inline(F.from_json(F.lit(text), kind)))
-    ranked = keyed.withColumn("at", F.row_number().over(Window.partitionBy("cell").orderBy("doc_id", "text_crc32", "size")).cast("long") - 1)
+    lot = F.coalesce(F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "row"), F.col("salts")), F.lit(0)).cast("int").alias("lot")
+    dealt = keyed.join(F.broadcast(hot), "cell", "left").select("doc_id", "size", "text_crc32", "cell", "row", lot)
+    inside = Window.partitionBy("cell", "lot").orderBy("doc_id", "text_crc32", "size", "row")
+    ranked = dealt.withColumn("at", F.row_number().over(inside).cast("long") - 1)
+    if not hot.isEmpty():  # ranks of a lot follow those of the lots before it; at most as many rows as hot cells have lots
+        lots = dealt.join(F.broadcast(hot.select("cell")), "cell", "left_semi").groupBy("cell", "lot").agg(F.count(F.lit(1)).alias("n"))
+        before = Window.partitionBy("cell").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
+        lots = lots.select("cell", "lot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+        ranked = ranked.join(F.broadcast(lots), ["cell", "lot"], "left").withColumn("at", F.col("at") + F.coalesce("ahead", F.lit(0)))
     step = F.element_at(F.filter("steps", lambda x: x["rank"] <= F.col("at")), -1)
     found = ranked.join(F.broadcast(table), "cell").withColumn("step", step)
     return found.select("doc_id", "size", "text_crc32", F.col("step.shard").alias("shard"), (F.col("step.slot") + F.col("at") - F.col("step.rank")).alias("slot"))

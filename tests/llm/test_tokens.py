@@ -92,3 +92,37 @@ def test_differencing_gives_near_equal_windows():
         assert n < 100 or max(sums) - min(sums) < 60
     windows = packing.windows_of([2047] * 5 + [3] * 4, 2048)
     assert all(sum(p[2] for p in w) <= 2048 for w in windows) and sum(p[2] for w in windows for p in w) == 5 * 2047 + 12
+
+
+def test_differencing_decides_nearly_all_ids():
+    """Windows keep what differencing put into them but for the excess, and only the last can have much room."""
+    rng = random.Random(8)
+    lengths = [min(2047, int(rng.lognormvariate(6.3, 0.8)) + 1) for _ in range(2048)]
+    windows = packing.windows_of(lengths, 2048)
+    whole = sum(n for w in windows for i, start, n in w if (start, n) == (0, lengths[i]))
+    longest = {}
+    for w in windows:
+        for i, _, n in w:
+            longest[i] = max(longest.get(i, 0), n)
+    assert sum(longest.values()) > (1 - packing.EXCESS) * sum(lengths) and whole > 0.85 * sum(lengths)
+    assert len(windows) <= 1.005 * sum(lengths) / 2048 + 1
+    sums = sorted(sum(n for _, _, n in w) for w in windows)
+    assert sums[-1] <= 2048 and sums[len(sums) // 20] > 1900
+
+
+def test_the_window_count_rises():
+    """Items that fit the least number of windows only with much cutting: the count rises until little is cut."""
+    windows = packing.windows_of([1500] * 40, 2048)
+    assert len(windows) > -(-40 * 1500 // 2048) and all(sum(n for *_, n in w) <= 2048 for w in windows)
+    whole = sum(n == 1500 for w in windows for *_, n in w)
+    assert whole >= 38 and sum(n for w in windows for *_, n in w) == 40 * 1500
+
+
+def test_many_equal_rows_spread_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BATCH", 50)
+    docs = spark.createDataFrame([(None, "")] * 3000 + [(k, "a few words") for k in range(100)], "doc_id bigint, text string")
+    pieces = packing.pack(docs, PATH).collect()
+    batches = {}
+    for p in pieces:
+        batches[p["sequence_id"] >> 32] = batches.get(p["sequence_id"] >> 32, 0) + 1
+    assert len(pieces) >= 3100 and len(batches) > 50 and max(batches.values()) < 150
