@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from meshlark.llm.common import text_of, written
 
 #: Bits of the map beyond those that number the lexicon's terms, and the bits of the smallest map.
-SPARE, LEAST_BITS = 8, 16
+SPARE, LEAST_BITS = 5, 16
 #: Ranges of doc_id, at most about so many: their cuts and first rows are broadcast.
 RANGES = 1 << 15
 #: (lots, sub-lexicons) of each level, from dense to sparse; all terms are a further lexicon, the first.

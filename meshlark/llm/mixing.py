@@ -114,7 +114,7 @@ def balanced(strata: DataFrame, targets: DataFrame) -> tuple[DataFrame, int]:
             step = (s["cg"] - gradient) / max(s["q"] + RIDGE * total - s["cc"], 1e-9 * total)
             step = max(-0.5, min(0.5, step))
             move = (-F.col("g") - F.col("c") * step) / F.col("h")
-            lambdas = written(each.select("of", (F.col("lambda") + F.least(F.greatest(move, F.lit(-1.0)), F.lit(1.0))).alias("lambda")))
+            lambdas = each.select("of", (F.col("lambda") + F.least(F.greatest(move, F.lit(-1.0)), F.lit(1.0))).alias("lambda"))
             mu, steps = mu + step, steps + 1
     z = (F.col("log_size") - mean) / (spread or 1.0)
     rated = base.withColumn("z", z).join(lambdas, "of", "left")

@@ -106,18 +106,17 @@ def test_equal_rows_are_rows_of_their_own(spark, monkeypatch):
     """Twelve texts four times over, with equal doc_ids and with distinct ones: both come as near to their targets."""
     rng = random.Random(4)
     texts = [(i, " ".join(["w"] * rng.randrange(20, 200)), f"s{i % 3}") for i in range(12)]
-    for equal in (True, False):
-        for dealt in (65_536, 2):
-            monkeypatch.setattr(mixing, "DEALT", dealt)
-            docs = spark.createDataFrame([(i if equal else 100 * k + i, t, s) for k in range(4) for i, t, s in texts], "doc_id long, text string, source string")
-            got = mixing.mix(docs).collect()
-            assert len(got) == 48
-            check_mix(got, lambda want: 100)  # half a document of up to 200 words
-            if equal:
-                copies = defaultdict(set)
-                for r in got:
-                    copies[r["doc_id"]].add(r["copies"])
-                assert all(max(c) - min(c) <= 1 for c in copies.values())
+    for equal, dealt in ((True, 2), (False, 65_536)):
+        monkeypatch.setattr(mixing, "DEALT", dealt)
+        docs = spark.createDataFrame([(i if equal else 100 * k + i, t, s) for k in range(4) for i, t, s in texts], "doc_id long, text string, source string")
+        got = mixing.mix(docs).collect()
+        assert len(got) == 48
+        check_mix(got, lambda want: 100)  # half a document of up to 200 words
+        if equal:
+            copies = defaultdict(set)
+            for r in got:
+                copies[r["doc_id"]].add(r["copies"])
+            assert all(max(c) - min(c) <= 1 for c in copies.values())
             assert mixing.mixed(docs).count() == sum(r["copies"] for r in got)
 
 
