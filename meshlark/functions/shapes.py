@@ -1,7 +1,8 @@
 """Plane geometry without dependencies: reading and writing shapes, clipping to squares, and predicates.
 
 A shape is (kind, parts) with kind point, line or polygon; a polygon part is a list of rings, the first its outline. Rings
-are arrays of (x, y). Rings are taken as valid; a ring that crosses itself counts by signed area.
+are arrays of (x, y). Parts may overlap and rings may cross themselves: what an odd number of a part's rings go round
+belongs to it (see covered_area), and the shape is what any part covers.
 """
 
 from __future__ import annotations
@@ -158,6 +159,87 @@ def area(parts: list) -> float:
     return sum(ring_area(p[0]) - sum(map(ring_area, p[1:])) for p in parts)
 
 
+def is_box(parts: list) -> bool:
+    """One rectangle along the axes."""
+    if len(parts) != 1 or len(parts[0]) != 1 or len(parts[0][0]) != 5:
+        return False
+    r = parts[0][0]
+    step = r[1:] - r[:-1]
+    return bool(((step[:, 0] == 0) != (step[:, 1] == 0)).all() and ((step[:-1, 0] == 0) != (step[1:, 0] == 0)).all())
+
+
+def _crossings(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The heights at which segments a-b (rows) properly cross each other."""
+    d = b - a
+    out = []
+    for k in range(len(a) - 1):
+        rest = slice(k + 1, None)
+        det = d[k, 0] * d[rest, 1] - d[k, 1] * d[rest, 0]
+        ok = det != 0
+        gap = a[rest] - a[k]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = (gap[:, 0] * d[rest, 1] - gap[:, 1] * d[rest, 0]) / det
+            u = (gap[:, 0] * d[k, 1] - gap[:, 1] * d[k, 0]) / det
+        hit = ok & (t > 0) & (t < 1) & (u > 0) & (u < 1)
+        if hit.any():
+            out.append(a[k, 1] + t[hit] * d[k, 1])
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def is_tangled(parts: list) -> bool:
+    """Parts may overlap (their boxes do), or a ring crosses itself."""
+    boxes = [(p[0].min(0), p[0].max(0)) for p in parts if len(p[0])]
+    for k, (low, high) in enumerate(boxes):
+        for other_low, other_high in boxes[:k]:
+            if (low < other_high).all() and (other_low < high).all():
+                return True
+    return any(len(r) > 4 and len(_crossings(r[:-1], r[1:])) > 0 for p in parts for r in p)
+
+
+def covered_area(parts: list) -> float:
+    """The area that any part covers, inside an odd number of its rings: slab by slab between the heights of vertices and
+    crossings, where the covered stretches change linearly."""
+    rings = [(k, r) for k, p in enumerate(parts) for r in p if len(r) > 2]
+    if not rings:
+        return 0.0
+    a = np.concatenate([r[:-1] for _, r in rings])
+    b = np.concatenate([r[1:] for _, r in rings])
+    of = np.concatenate([np.full(len(r) - 1, k) for k, r in rings])
+    heights = np.unique(np.concatenate([a[:, 1], b[:, 1], _crossings(a, b)]))
+    total = 0.0
+    for low, high in zip(heights[:-1].tolist(), heights[1:].tolist()):
+        middle = (low + high) / 2
+        up = (a[:, 1] <= middle) != (b[:, 1] <= middle)
+        x = a[up, 0] + (middle - a[up, 1]) * (b[up, 0] - a[up, 0]) / (b[up, 1] - a[up, 1])
+        spans = []
+        for k in np.unique(of[up]):
+            xs = np.sort(x[of[up] == k])
+            spans += zip(xs[::2].tolist(), xs[1::2].tolist())
+        width, end = 0.0, -np.inf
+        for s, e in sorted(spans):
+            width += max(0.0, e - max(s, end))
+            end = max(end, e)
+        total += width * (high - low)
+    return total
+
+
+def edges_meet(parts: list, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> np.ndarray:
+    """Which closed rectangles meet an edge of a polygon; vectorised over the rectangles, an edge at a time."""
+    hit = np.zeros(len(x0), bool)
+    for polygon in parts:
+        for r in polygon:
+            for (ax, ay), (bx, by) in zip(r[:-1].tolist(), r[1:].tolist()):
+                low, high = np.zeros(len(x0)), np.ones(len(x0))
+                for p, d, lo, hi in ((ax, bx - ax, x0, x1), (ay, by - ay, y0, y1)):
+                    if d == 0:
+                        low = np.where((p < lo) | (p > hi), 2.0, low)
+                    else:
+                        t0, t1 = (lo - p) / d, (hi - p) / d
+                        low, high = np.maximum(low, np.minimum(t0, t1)), np.minimum(high, np.maximum(t0, t1))
+                hit |= low <= high
+    return hit
+
+
 def cut(ring: np.ndarray, axis: int, bound: float, above: bool) -> np.ndarray:
     """The part of a closed ring on one side of a line (Sutherland and Hodgman)."""
     if len(ring) < 2:

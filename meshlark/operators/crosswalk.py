@@ -4,47 +4,69 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from meshlark.errors import ContractError
 from meshlark.functions import codec
-from meshlark.functions.constants import check_level
+from meshlark.functions.constants import MAX_LEVEL
 from meshlark.functions.profiles import DOMAINS
 
 TOLERANCE = 1e-9
 # The manifest.
 FIELDS = ("format_version", "spec_version", "domain_code", "level", "weight_kind", "source_description", "registry_version", "created_at")
+WEIGHT_KINDS = ("luas", "bangunan", "populasi", "lainnya")
+VERSIONS = {"format_version": "1.0", "spec_version": "2.0"}
 
 
-def check_manifest(manifest: dict) -> int:
-    missing = [f for f in FIELDS if f not in manifest]
-    if missing:
-        raise ContractError(f"the manifest lacks {', '.join(missing)}")
-    if (manifest["format_version"], manifest["spec_version"]) != ("1.0", "2.0"):
-        raise ContractError("the manifest must have format_version 1.0 and spec_version 2.0")
-    if manifest["domain_code"] not in DOMAINS:
-        raise ContractError("the manifest names no known domain")
-    for f in ("weight_kind", "source_description", "registry_version", "created_at"):
-        if not isinstance(manifest[f], str) or not manifest[f].strip():
-            raise ContractError(f"the manifest's {f} must be a text")
+def _is_time(v) -> bool:
     try:
-        datetime.fromisoformat(manifest["created_at"].replace("Z", "+00:00"))
-    except ValueError:
-        raise ContractError("the manifest's created_at must be an ISO 8601 time") from None
-    return check_level(manifest["level"])
+        return bool(datetime.fromisoformat(v.replace("Z", "+00:00")))
+    except (AttributeError, ValueError):
+        return False
 
 
-def violations(rows: DataFrame, level: int) -> dict[str, int]:
+_named = lambda v: isinstance(v, str) and v.strip() != ""
+#: What each field of a manifest must be.
+TESTS = {
+    **{f: (lambda v, want=want: v == want) for f, want in VERSIONS.items()},
+    "domain_code": lambda v: v in DOMAINS,
+    "level": lambda v: type(v) is int and 0 <= v <= MAX_LEVEL,
+    "weight_kind": lambda v: v in WEIGHT_KINDS,
+    "source_description": _named,
+    "registry_version": _named,
+    "created_at": _is_time,
+}
+
+
+def check_manifest(manifest: dict) -> int:
+    """The level of a manifest all of whose fields pass; else an error that names those that don't."""
+    bad = [f for f in FIELDS if f not in manifest or not TESTS[f](manifest[f])]
+    if bad:
+        raise ContractError(f"missing or wrong in the crosswalk's manifest: {', '.join(bad)}")
+    return manifest["level"]
+
+
+RULES = ("source", "gid", "weight", "duplicate", "sum")
+
+
+def violation_counts(rows: DataFrame, level: int) -> DataFrame:
+    """One row: how many rows (sum: sources) break each of RULES."""
     w = F.col("bobot").cast("double")
-    one = rows.agg(
-        F.count_if(F.coalesce(F.trim("sumber_id"), F.lit("")) == "").alias("source"),
-        F.count_if(F.coalesce(codec.gid_level("gid"), F.lit(-1)) != level).alias("gid"),
-        F.count_if(w.isNull() | F.isnan(w) | (w <= 0) | (w == float("inf"))).alias("weight"),
-    ).first()
-    found = {k: int(one[k]) for k in ("source", "gid", "weight")}
-    found["duplicate"] = rows.groupBy("sumber_id", "gid").count().filter("count > 1").count()
-    found["sum"] = rows.groupBy("sumber_id").agg(F.sum(w).alias("s")).filter(F.abs(F.col("s") - 1) > TOLERANCE).count()
-    return found
+    by_source = rows.groupBy("sumber_id").agg(
+        F.sum(F.when(F.coalesce(F.trim("sumber_id"), F.lit("")) == "", 1).otherwise(0)).alias("source"),
+        F.sum(F.when(F.coalesce(codec.gid_level("gid"), F.lit(-1)) != level, 1).otherwise(0)).alias("gid"),
+        F.sum(F.when(w.isNull() | F.isnan(w) | (w <= 0) | (w == float("inf")), 1).otherwise(0)).alias("weight"),
+        F.sum(w).alias("s"),
+    )
+    twice = rows.groupBy("sumber_id", "gid").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("duplicate"))
+    one = by_source.agg(F.sum("source").alias("source"), F.sum("gid").alias("gid"), F.sum("weight").alias("weight"), F.count_if(F.abs(F.col("s") - 1) > TOLERANCE).alias("sum"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    key = F.lit(1).alias("_k")
+    return one.select("*", key).join(twice.select("*", key), "_k").select(*map(zero, RULES))
+
+
+def violations(rows: DataFrame, level: int) -> dict[str, int]:
+    return violation_counts(rows, level).first().asDict()
 
 
 def summary(rows: DataFrame) -> DataFrame:
@@ -67,9 +89,30 @@ def apply(source: DataFrame, crosswalk: DataFrame, value: str, key: str = "sumbe
 
 
 def from_shares(shares: DataFrame, source: str, area: str, total: str, tolerance: float = 1e-6) -> DataFrame:
-    """Overlap areas to crosswalk rows: cells must cover each source within the tolerance; weights then sum to one."""
-    of_source = Window.partitionBy(source)
-    covered = F.sum(area).over(of_source)
-    ok = F.abs(covered / F.col(total) - 1) <= tolerance
-    weight = F.when(ok, F.col(area) / covered).otherwise(F.raise_error(F.lit("cells don't cover a source's area")))
-    return shares.filter(F.col(area) > 0).select(F.col(source).cast("string").alias("sumber_id"), "gid", weight.alias("bobot"))
+    """Overlap areas to crosswalk rows: cells must cover each source within the tolerance; weights then sum to one.
+
+    What a source's cells cover is an aggregate with partial sums, so a source of very many cells burdens no task.
+    """
+    covered = shares.groupBy(source).agg(F.sum(area).alias("_covered"))
+    ok = F.abs(F.col("_covered") / F.col(total) - 1) <= tolerance
+    weight = F.when(ok, F.col(area) / F.col("_covered")).otherwise(F.raise_error(F.lit("cells don't cover a source's area")))
+    return shares.join(covered, source).filter(F.col(area) > 0).select(F.col(source).cast("string").alias("sumber_id"), "gid", weight.alias("bobot"))
+
+
+def from_polygons(polygons: DataFrame, source: str, geometry: str, domain: str, level: int, crs: str = "grid", tolerance: float = 1e-6) -> DataFrame:
+    """sumber_id, gid, bobot from polygons (WKT, WKB or GeoJSON), one row a source: a cell's share of the polygon's area.
+
+    Fails where a source has no name or no area, comes twice, or isn't covered by the cells of the grid.
+    """
+    from meshlark.operators.geometry import polygons_to_cells, shape_areas
+
+    named = polygons.select(F.col(source).cast("string").alias("_source"), F.col(geometry).alias("_shape"))
+    sized = shape_areas(named, "_shape", domain, crs, "_total")
+    good = (F.trim(F.col("_source")) != "") & (F.col("_total") > 0) & (F.col("_total") < float("inf"))
+    told = F.when(F.coalesce(good, F.lit(False)), F.col("_total")).otherwise(F.raise_error(F.lit("a source has no name or no area")).cast("double"))
+    totals = sized.groupBy("_source").agg(F.count(F.lit(1)).alias("_n"), F.max(told).alias("_total"))
+    once = F.when(F.col("_n") == 1, F.col("_total")).otherwise(F.raise_error(F.lit("a source comes twice")).cast("double"))
+    cells = polygons_to_cells(named, "_shape", domain, level, crs=crs, keep=["_source"])
+    shares = totals.select("_source", once.alias("_total")).join(cells.select("_source", "gid", "area"), "_source", "left")
+    whole = shares.withColumns({"area": F.coalesce("area", F.lit(0.0))})
+    return from_shares(whole, "_source", "area", "_total", tolerance)

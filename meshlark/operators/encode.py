@@ -59,10 +59,18 @@ def encode_lonlat(df: DataFrame, lon: str, lat: str, domain: str, level: int, mo
     return encode_projected(flat, "_x", "_y", domain, level, "null", [c for c in kept if c not in IDENTITY], scheme)
 
 
-def index_points(df: DataFrame, lon: str, lat: str, domain: str, level: int, allow_candidate: bool = False) -> DataFrame:
-    """Point index service: identity, bounds, edge and support status of each point's cell."""
+def index_points(df: DataFrame, lon: str, lat: str, domain: str, level: int, allow_candidate: bool = False, boundary=None, mode: str = "null") -> DataFrame:
+    """Point index service: identity, bounds, edge and support status of each point's cell.
+
+    With a boundary (geometry.Boundary), points outside it have no cell either, or fail with mode="fail".
+    """
     d = find_domain(domain)
-    out = encode_lonlat(df, lon, lat, domain, level, allow_candidate=allow_candidate)
+    if boundary is not None:
+        names = df.columns
+        placed = boundary.covers_points(projection.with_grid_xy(df, d, lon, lat, "_bx", "_by"), "_bx", "_by", "_inside")
+        inside = F.coalesce(F.col("_inside"), F.lit(False))
+        df = placed.withColumn(lon, codec.guarded(inside, F.col(lon), mode, f"point is outside the operational boundary of {domain}")).select(*names)
+    out = encode_lonlat(df, lon, lat, domain, level, mode, allow_candidate=allow_candidate)
     return out.withColumn("bounds", codec.bounds_of("x_idx", "y_idx", level)).withColumn("edge_m", F.lit(codec.cell_side(level))).withColumn("production_ready", F.lit(d.released))
 
 

@@ -51,13 +51,30 @@ def _equal_area(d: Domain):
     return lambda x, y: projection.equal_earth(*projection.from_grid(d, x, y))
 
 
-def polygon_cells(parts: list, level: int, limit: int = LIMIT, equal_area: Domain | None = None) -> list[tuple[int, int, float, float]]:
-    """(x_idx, y_idx, share of the cell, area in grid metres) of cells with a covered area, row by row."""
+def _box_cells(ring: np.ndarray, window: tuple[int, int, int, int], side: int) -> list[tuple[int, int, float, float]]:
+    """polygon_cells of a rectangle along the axes: the overlaps of both axes, multiplied."""
+    low, high = ring.min(0).tolist(), ring.max(0).tolist()
+    spans = []
+    for axis, (first, last) in enumerate(((window[0], window[2]), (window[1], window[3]))):
+        starts = [ORIGIN + k * side for k in range(first, last + 1)]
+        spans.append([(k, w) for k, s in zip(range(first, last + 1), starts) if (w := min(high[axis], s + side) - max(low[axis], s)) > 0])
+    return [(i, j, _ratio(w * h / side**2), w * h) for j, h in spans[1] for i, w in spans[0]]
+
+
+def polygon_cells(parts: list, level: int, limit: int = LIMIT, equal_area: Domain | None = None, touching: bool = False) -> list[tuple[int, int, float, float]]:
+    """(x_idx, y_idx, share of the cell, area in grid metres) of cells with a covered area, row by row.
+
+    Parts that overlap, and rings that cross themselves, count an area once. With `touching`, cells that a polygon only
+    touches come too, with a share of 0.
+    """
     points = np.concatenate([r for p in parts for r in p]) if parts else np.zeros((0, 2))
-    window = _limited(_window(points.min(0), points.max(0), level, False) if len(points) else None, limit)
+    window = _limited(_window(points.min(0), points.max(0), level, touching) if len(points) else None, limit)
     if not window:
         return []
     side, out = cell_side(level), []
+    if shapes.is_box(parts) and not equal_area and not touching:
+        return _box_cells(parts[0][0], window, side)
+    size = shapes.covered_area if shapes.is_tangled(parts) else shapes.area
     flat = _equal_area(equal_area) if equal_area else None
     for i in range(window[0], window[2] + 1):
         x0 = ORIGIN + i * side
@@ -66,19 +83,22 @@ def polygon_cells(parts: list, level: int, limit: int = LIMIT, equal_area: Domai
         if not strips:
             continue
         ys = np.concatenate([r for p in strips for r in p])[:, 1]
-        first, last = max(window[1], math.floor((ys.min() - ORIGIN) / side)), min(window[3], math.floor((ys.max() - ORIGIN) / side))
+        first, last = max(window[1], math.floor((ys.min() - ORIGIN) / side) - touching), min(window[3], math.floor((ys.max() - ORIGIN) / side))
         for j in range(first, last + 1):
             y0 = ORIGIN + j * side
             pieces = [[shapes.cut(shapes.cut(r, 1, y0, True), 1, y0 + side, False) for r in p] for p in strips]
-            covered = shapes.area([p for p in pieces if len(p[0])])
+            pieces = [[r for r in p if len(r)] for p in pieces if len(p[0])]
+            covered = size(pieces)
             if covered > 0:
                 if flat:
                     square = np.array([[x0, y0], [x0 + side, y0], [x0 + side, y0 + side], [x0, y0 + side], [x0, y0]])
-                    part = shapes.area(shapes.mapped(("polygon", [[r for r in p if len(r)] for p in pieces if len(p[0])]), flat)[1])
+                    part = size(shapes.mapped(("polygon", pieces), flat)[1])
                     whole = shapes.area(shapes.mapped(("polygon", [[square]]), flat)[1])
                     out.append((i, j, _ratio(part / whole), covered))
                 else:
                     out.append((i, j, _ratio(covered / side**2), covered))
+            elif touching and shapes.touches(parts, x0, y0, x0 + side, y0 + side):
+                out.append((i, j, 0.0, 0.0))
     return sorted(out, key=lambda c: (c[1], c[0]))
 
 
@@ -115,7 +135,7 @@ def gid_text(level: int, x: int, y: int) -> str:
     return out
 
 
-def _to_grid(shape: shapes.Shape, d: Domain, crs: str) -> shapes.Shape:
+def in_grid(shape: shapes.Shape, d: Domain, crs: str) -> shapes.Shape:
     if crs == "grid":
         return shape
     if crs in ("EPSG:4326", "OGC:CRS84"):
@@ -123,7 +143,7 @@ def _to_grid(shape: shapes.Shape, d: Domain, crs: str) -> shapes.Shape:
     raise ContractError(f"coordinates in {crs!r} are not supported")
 
 
-def geometry_to_cells(df: DataFrame, geometry: str, domain: str, level: int, crs: str = "grid", keep: list[str] | None = None, limit: int = LIMIT, coverage: str = "GRID_PLANAR", min_coverage: float = 0.0, of_source: bool = True, boundary: Boundary | None = None, predicate: str | None = None) -> DataFrame:  # noqa: F821
+def geometry_to_cells(df: DataFrame, geometry: str, domain: str, level: int, crs: str = "grid", keep: list[str] | None = None, limit: int = LIMIT, coverage: str = "GRID_PLANAR", min_coverage: float = 0.0, of_source: bool = True, boundary: Boundary | None = None, predicate: str | None = None, touching: bool = False) -> DataFrame:  # noqa: F821
     """Contribution rows: kept columns, identity, coverage_ratio or length_ratio, assignment_method, boundary_policy.
 
     With of_source, coverage is the share of the source's area inside the grid, so shares of a source sum to one; else it
@@ -138,7 +158,7 @@ def geometry_to_cells(df: DataFrame, geometry: str, domain: str, level: int, crs
     equal = d if coverage == "EQUAL_AREA" else None
 
     def cells(value) -> list[tuple]:
-        kind, parts = _to_grid(shapes.parse(value), d, crs)
+        kind, parts = in_grid(shapes.parse(value), d, crs)
         if kind == "point":
             out = []
             for p in parts:
@@ -149,11 +169,12 @@ def geometry_to_cells(df: DataFrame, geometry: str, domain: str, level: int, crs
         if kind == "line":
             out = [(i, j, None, v, None, "length") for i, j, v in line_cells(parts, level, limit)]
         else:
-            found = [c for c in polygon_cells(parts, level, limit, equal) if c[2] > 0 and c[2] >= min_coverage]
+            found = [c for c in polygon_cells(parts, level, limit, equal, touching) if (touching or c[2] > 0) and c[2] >= min_coverage]
             total = sum(c[3] for c in found)
             out = [(i, j, a / total if of_source else v, None, a, "area") for i, j, v, a in found]
-        if boundary is not None:
-            out = [c for c in out if boundary.matches(c[0], c[1], level, predicate or "INTERSECTS", min_coverage)]
+        if boundary is not None and out:
+            good = boundary.matches_many(np.array([c[0] for c in out]), np.array([c[1] for c in out]), level, predicate or "INTERSECTS", min_coverage)
+            out = [c for c, ok in zip(out, good) if ok]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,14 +205,15 @@ def polygon_to_cell(df: DataFrame, geometry: str, domain: str, level: int, metho
     """One cell for each polygon: its largest overlap (ties: greatest gid), or the cell of its centroid."""
     if method == "largest_overlap":
         cells = polygons_to_cells(df, geometry, domain, level, **options)
-        return cells.groupBy(source).agg(F.max(F.struct("coverage_ratio", "gid")).alias("b")).select(source, "b.gid", "b.coverage_ratio")
+        overlap = F.round("coverage_ratio", 9).alias("r")  # sums of equal parts may differ in the last bits
+        return cells.groupBy(source).agg(F.max(F.struct(overlap, "gid", "coverage_ratio")).alias("b")).select(source, "b.gid", "b.coverage_ratio")
     if method not in ("centroid", "representative_point"):
         raise ContractError(f"no method {method!r}")
     d, crs = find_domain(domain), options.get("crs", "grid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = [None if g is None else representative(_to_grid(shapes.parse(g), d, crs)[1], method) for g in batch.column(geometry).to_pylist()]
+            points = [None if g is None else representative(in_grid(shapes.parse(g), d, crs)[1], method) for g in batch.column(geometry).to_pylist()]
             yield pa.record_batch([batch.column(source), *(pa.array([p and p[k] for p in points], pa.float64()) for k in (0, 1))], [source, "_x", "_y"])
 
     flat = df.select(source, geometry).mapInArrow(run, f"`{source}` {df.schema[source].dataType.simpleString()}, _x double, _y double")
@@ -227,7 +249,7 @@ class Boundary:
 
     @classmethod
     def read(cls, value, domain: str, crs: str = "grid") -> Boundary:
-        kind, parts = _to_grid(shapes.parse(value), find_domain(domain), crs)
+        kind, parts = in_grid(shapes.parse(value), find_domain(domain), crs)
         if kind != "polygon" or not parts:
             raise ContractError("a boundary must be a polygon")
         return cls(parts)
@@ -242,38 +264,32 @@ class Boundary:
             raise ContractError("the boundary file isn't the one expected")
         return cls.read(data.decode(), domain, crs)
 
-    def ratio(self, i: int, j: int, level: int) -> float:
+    def matches_many(self, i: np.ndarray, j: np.ndarray, level: int, predicate: str, min_coverage: float = 0.0) -> np.ndarray:
+        """Which cells match; vectorised over the cells. Only cells on the boundary are clipped, for MIN_COVERAGE."""
         side = cell_side(level)
-        x0, y0 = ORIGIN + i * side, ORIGIN + j * side
-        pieces = [[shapes.clip(r, x0, y0, x0 + side, y0 + side) for r in p] for p in self.parts]
-        return min(1.0, max(0.0, shapes.area([p for p in pieces if len(p[0])]) / side**2))
-
-    def matches(self, i: int, j: int, level: int, predicate: str, min_coverage: float = 0.0) -> bool:
-        side = cell_side(level)
-        x0, y0 = ORIGIN + i * side, ORIGIN + j * side
+        x0, y0 = ORIGIN + i.astype(float) * side, ORIGIN + j.astype(float) * side
+        centre = shapes.covers_many(self.parts, x0 + side / 2, y0 + side / 2)
         if predicate == "CENTROID_COVERED":
-            return shapes.covers(self.parts, x0 + side / 2, y0 + side / 2)
+            return centre
+        if predicate not in ("INTERSECTS", "MIN_COVERAGE"):
+            raise ContractError(f"no predicate {predicate!r}")
+        edge = shapes.edges_meet(self.parts, x0, y0, x0 + side, y0 + side)
         if predicate == "INTERSECTS":
-            return shapes.touches(self.parts, x0, y0, x0 + side, y0 + side)
-        if predicate == "MIN_COVERAGE":
-            return self.ratio(i, j, level) >= min_coverage
-        raise ContractError(f"no predicate {predicate!r}")
+            return edge | centre
+        size = shapes.covered_area if shapes.is_tangled(self.parts) else shapes.area
+        share = centre.astype(float)
+        for n in np.flatnonzero(edge).tolist():
+            pieces = [[shapes.clip(r, x0[n], y0[n], x0[n] + side, y0[n] + side) for r in p] for p in self.parts]
+            share[n] = min(1.0, max(0.0, size([[r for r in p if len(r)] for p in pieces if len(p[0])]) / side**2))
+        return share >= min_coverage
+
+    def matches(self, i: int, j: int, level: int, predicate: str, min_coverage: float = 0.0) -> bool:
+        return bool(self.matches_many(np.array([i]), np.array([j]), level, predicate, min_coverage)[0])
 
     def _box(self) -> tuple[float, ...]:
         points = np.concatenate([r for p in self.parts for r in p])
         return (*points.min(0).tolist(), *points.max(0).tolist())
 
-    def flag(self, df: DataFrame, test, kinds: dict[str, str], name: str) -> DataFrame:
-        """`df` with a boolean column of test(values of the named columns), in Arrow batches."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                values = zip(*(batch.column(c).to_pylist() for c in kinds))
-                flags = [None if None in v else bool(test(*v)) for v in values]
-                yield pa.record_batch([*batch.columns, pa.array(flags, pa.bool_())], [*batch.schema.names, name])
-
-        return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{name}` boolean"]))
-
     def covers_points(self, df: DataFrame, x: str = "x_m", y: str = "y_m", name: str = "inside_boundary") -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -284,17 +300,47 @@ class Boundary:
 
         return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{name}` boolean"]))
 
-    def filter_points(self, df: DataFrame, x: str = "x_m", y: str = "y_m") -> DataFrame:
-        """Rows inside; a range filter on the boundary's box goes first, and reaches the scan."""
+    def near_points(self, df: DataFrame, x: str, y: str) -> DataFrame:
+        """Rows in the boundary's box: a range filter, which reaches the scan where it can."""
         x0, y0, x1, y1 = self._box()
-        near = df.filter(F.col(x).between(x0, x1) & F.col(y).between(y0, y1))
-        return self.covers_points(near, x, y, "_inside").filter("_inside").drop("_inside")
+        return df.filter(F.col(x).between(x0, x1) & F.col(y).between(y0, y1))
+
+    def filter_points(self, df: DataFrame, x: str = "x_m", y: str = "y_m") -> DataFrame:
+        """Rows inside."""
+        return self.covers_points(self.near_points(df, x, y), x, y, "_inside").filter("_inside").drop("_inside")
 
     def filter_cells(self, df: DataFrame, level: int, predicate: str = "INTERSECTS", min_coverage: float = 0.0) -> DataFrame:
+        """Rows whose cell (x_idx, y_idx) matches; a batch of cells at a time."""
         side = cell_side(level)
         x0, y0, x1, y1 = (math.floor((v - ORIGIN) / side) for v in self._box())
         near = df.filter(F.col("x_idx").between(x0 - 1, x1) & F.col("y_idx").between(y0 - 1, y1))
-        return self.flag(near, lambda i, j: self.matches(i, j, level, predicate, min_coverage), {"x_idx": "", "y_idx": ""}, "_inside").filter("_inside").drop("_inside")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                i, j = (batch.column(c).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in ("x_idx", "y_idx"))
+                yield batch.filter(pa.array(self.matches_many(i, j, level, predicate, min_coverage)))
+
+        return near.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+
+
+def shape_areas(df: DataFrame, geometry: str, domain: str, crs: str = "grid", name: str = "area") -> DataFrame:
+    """Adds the area of each polygon in grid metres, overlapping parts once; null for null."""
+    d = find_domain(domain)
+
+    def one(value) -> float | None:
+        if value is None:
+            return None
+        kind, parts = in_grid(shapes.parse(value), d, crs)
+        if kind != "polygon":
+            raise ContractError("only polygons have an area")
+        return shapes.covered_area(parts) if shapes.is_tangled(parts) else shapes.area(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            areas = pa.array([one(v) for v in batch.column(geometry).to_pylist()], pa.float64())
+            yield pa.record_batch([*batch.columns, areas], [*batch.schema.names, name])
+
+    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{name}` double"]))
 
 
 def cell_polygons(df: DataFrame, level: int, domain: str | None = None, crs: str = "grid", form: str = "wkt", max_segment_m: float = 25_000.0, name: str = "geometry") -> DataFrame:
@@ -305,6 +351,11 @@ def cell_polygons(df: DataFrame, level: int, domain: str | None = None, crs: str
     d = find_domain(domain) if domain else None
     if crs != "grid" and d is None:
         raise ContractError("WGS 84 outlines need a domain")
+    if crs == "grid" and form == "wkt":  # whole metres: text functions alone
+        x0, y0 = (F.lit(ORIGIN) + F.col(c) * side for c in ("x_idx", "y_idx"))
+        at = lambda a, b: F.concat_ws(" ", a.cast("bigint").cast("string"), b.cast("bigint").cast("string"))
+        ring = F.concat_ws(", ", at(x0, y0), at(x0 + side, y0), at(x0 + side, y0 + side), at(x0, y0 + side), at(x0, y0))
+        return df.withColumn(name, F.when(F.col("x_idx").isNotNull() & F.col("y_idx").isNotNull(), F.concat(F.lit("POLYGON (("), ring, F.lit("))"))))
     pieces = max(1, math.ceil(side / max_segment_m)) if crs != "grid" else 1
     t = np.arange(pieces) / pieces
     unit = np.concatenate([np.stack(p, 1) for p in ((t, 0 * t), (1 + 0 * t, t), (1 - t, 1 + 0 * t), (0 * t, 1 - t))] + [np.zeros((1, 2))])

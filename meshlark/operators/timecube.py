@@ -15,45 +15,60 @@ def rollup(df: DataFrame, value: str, semantics: str, to: str, bucket_hours: int
     return df.groupBy("gid", periods.label_of(start, to, bucket_hours).alias("period")).agg(f(value).alias(value))
 
 
+def _nests(fine: tuple[str, int | None], coarse: tuple[str, int | None]) -> bool:
+    """Every period of the first kind lies in one of the second."""
+    if fine[0] == coarse[0]:
+        return fine[0] != "hour" or coarse[1] % fine[1] == 0
+    return periods.PERIODS.index(fine[0]) > periods.PERIODS.index(coarse[0])
+
+
 def period_join(left: DataFrame, right: DataFrame, left_type: tuple[str, int | None], right_type: tuple[str, int | None]) -> DataFrame:
     """Rows of one cell whose periods meet: gid, left_period, right_period, relation, and both sides' other columns.
 
-    Both sides are keyed by gid and by each day or year bucket that they touch, so the join is a hash or merge join; a
-    pair that meets in several buckets is kept in the first one only.
+    Where the periods of one side lie in those of the other, a row's own coarser period is the key, and nothing is
+    exploded. Hours of unlike buckets that don't nest are keyed by their day, and pairs that don't meet are dropped.
     """
-    coarse = "year" if "year" in (left_type[0], right_type[0]) or "month" in (left_type[0], right_type[0]) else "day"
-    unit = F.make_ym_interval(F.lit(1), F.lit(0)) if coarse == "year" else F.make_dt_interval(days=F.lit(1))
-
-    def keyed(df: DataFrame, kind: tuple[str, int | None], side: str) -> DataFrame:
-        named = df.select(*(F.col(f"`{c}`").alias(c if c == "gid" else f"{side}_{c}") for c in df.columns))
-        timed = named.withColumn(f"_{side}0", periods.start_of(f"{side}_period", *kind)).withColumn(f"_{side}1", periods.end_of(f"{side}_period", *kind))
-        last = F.date_trunc(coarse, F.col(f"_{side}1") - F.make_dt_interval(secs=F.lit(1).cast("decimal(18,6)")))
-        return timed.withColumn("_bucket", F.explode(F.sequence(F.date_trunc(coarse, F.col(f"_{side}0")), last, unit)))
-
-    both = keyed(left, left_type, "left").join(keyed(right, right_type, "right"), ["gid", "_bucket"])
-    meet = (F.col("_left0") < F.col("_right1")) & (F.col("_right0") < F.col("_left1"))
-    once = F.col("_bucket") == F.date_trunc(coarse, F.greatest("_left0", "_right0"))
+    named = lambda df, side: df.select(*(F.col(f"`{c}`").alias(c if c == "gid" else f"{side}_{c}") for c in df.columns))
+    a = named(left, "left").withColumn("_left0", periods.start_of("left_period", *left_type)).filter("_left0 IS NOT NULL")
+    b = named(right, "right").withColumn("_right0", periods.start_of("right_period", *right_type)).filter("_right0 IS NOT NULL")
+    kept = [c for c in dict.fromkeys((*a.columns, *b.columns)) if not c.startswith("_")]
+    if _nests(left_type, right_type):
+        kind = "equal" if left_type == right_type else "contained"
+        both = a.withColumn("_key", periods.floor_of("_left0", *right_type)).join(b.withColumnRenamed("_right0", "_key"), ["gid", "_key"])
+        return both.select(*kept, F.lit(kind).alias("relation"))
+    if _nests(right_type, left_type):
+        both = a.withColumnRenamed("_left0", "_key").join(b.withColumn("_key", periods.floor_of("_right0", *left_type)), ["gid", "_key"])
+        return both.select(*kept, F.lit("contains").alias("relation"))
+    day = lambda c: F.date_trunc("day", c).alias("_key")
+    both = a.select("*", day("_left0")).join(b.select("*", day("_right0")), ["gid", "_key"])
+    hours = lambda c, n: F.col(c) + F.make_dt_interval(hours=F.lit(n))
+    ends = both.withColumns({"_left1": hours("_left0", left_type[1]), "_right1": hours("_right0", right_type[1])})
     kind = periods.relation(F.col("_left0"), F.col("_left1"), F.col("_right0"), F.col("_right1")).alias("relation")
-    kept = [c for c in both.columns if not c.startswith("_")]
-    return both.filter(meet & once).select(*kept, kind)
+    return ends.filter((F.col("_left0") < F.col("_right1")) & (F.col("_right0") < F.col("_left1"))).select(*kept, kind)
 
 
-def violations(df: DataFrame, level: int, period: str, period_start: str, period_end: str, bucket_hours: int | None = None) -> dict[str, int]:
-    """How many rows break each rule: gid, level, label, range, and unique (gid, period)."""
-    spark = df.sparkSession
-    bounds = spark.range(1).select(periods.start_of(F.lit(period_start), period, bucket_hours).alias("a"), periods.start_of(F.lit(period_end), period, bucket_hours).alias("b")).first()
-    if bounds["a"] is None or bounds["b"] is None or bounds["a"] >= bounds["b"]:
+RULES = ("gid", "level", "label", "range", "duplicate")
+
+
+def violation_counts(df: DataFrame, level: int, period: str, period_start: str, period_end: str, bucket_hours: int | None = None) -> DataFrame:
+    """One row: how many rows break each of RULES (duplicate: how many (gid, period) come again)."""
+    bounds = [periods.start_of(F.lit(v), period, bucket_hours) for v in (period_start, period_end)]
+    a, b = df.sparkSession.range(1).select(*bounds).first()
+    if a is None or b is None or a >= b:
         raise TimeCubeError("period_start must be a label before period_end")
+    low, high = (F.lit(v.isoformat(sep=" ")).cast("timestamp_ntz") for v in (a, b))
     start = periods.start_of("period", period, bucket_hours)
-    a, b = (F.lit(bounds[k].isoformat(sep=" ")).cast("timestamp_ntz") for k in "ab")
-    counted = df.agg(
+    return df.agg(
         F.count_if(codec.gid_level("gid").isNull()).alias("gid"),
         F.count_if(codec.gid_level("gid") != level).alias("level"),
         F.count_if(start.isNull()).alias("label"),
-        F.count_if((start < a) | (start >= b)).alias("range"),
-    ).first()
-    twice = df.groupBy("gid", "period").count().filter("count > 1").count()
-    return {k: int(counted[k]) for k in ("gid", "level", "label", "range")} | {"duplicate": twice}
+        F.count_if((start < low) | (start >= high)).alias("range"),
+        (F.count(F.lit(1)) - F.count_distinct(F.struct("gid", "period"))).alias("duplicate"),
+    )
+
+
+def violations(df: DataFrame, level: int, period: str, period_start: str, period_end: str, bucket_hours: int | None = None) -> dict[str, int]:
+    return violation_counts(df, level, period, period_start, period_end, bucket_hours).first().asDict()
 
 
 def validate(df: DataFrame, **declared) -> None:

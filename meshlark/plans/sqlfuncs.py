@@ -39,6 +39,28 @@ def register(spark: SparkSession, level: int) -> None:
         spark.sql(statement)
 
 
+def register_polyfill(spark: SparkSession, name: str = "cell_polyfill") -> None:
+    """A table function for SQL: cell_polyfill(shape, level), a polygon as WKT, WKB or GeoJSON in grid metres.
+
+    A row (gid, x_idx, y_idx, coverage_ratio) for each cell with a share in it; none for null. For whole tables
+    geometry.polygons_to_cells, which reads batches, is the faster way.
+    """
+    from pyspark.sql.functions import udtf
+
+    class Polyfill:
+        def eval(self, shape, level: int):
+            from meshlark.functions import shapes
+            from meshlark.operators.geometry import gid_text, polygon_cells
+
+            kind, parts = shapes.parse(shape) if shape is not None else ("polygon", [])
+            if kind != "polygon":
+                raise ContractError("only polygons can be filled")
+            for x, y, share, _ in polygon_cells(parts, check_level(level)):
+                yield gid_text(level, x, y), x, y, share
+
+    spark.udtf.register(name, udtf(Polyfill, returnType="gid string, x_idx bigint, y_idx bigint, coverage_ratio double"))
+
+
 def render(engine: str, name: str = "encode_cell") -> str:
     """Encoder text (domain_id, level, x, y) for bigquery or snowflake (JavaScript) or postgis (PL/pgSQL).
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meshlark.errors import ContractError, DependencyError
 
+#: Excel sheets hold no more rows; they are made on the driver, so a larger table is refused.
+EXCEL_ROWS = 1_048_575
 FORMATS = {"csv": "csv", "txt": "csv", "parquet": "parquet", "pq": "parquet", "xlsx": "excel", "xls": "excel"}
 
 
@@ -47,8 +49,11 @@ def write_table(df: DataFrame, destination: str, output_format: str | None = Non
     elif kind == "parquet":
         writer.parquet(destination)
     else:
+        rows = df.limit(EXCEL_ROWS + 1)
+        if rows.count() > EXCEL_ROWS:
+            raise ContractError(f"an Excel sheet holds at most {EXCEL_ROWS} rows")
         try:
-            df.toPandas().to_excel(destination, index=False)
+            rows.toPandas().to_excel(destination, index=False)
         except ImportError as e:
             raise DependencyError("writing Excel needs openpyxl") from e
 

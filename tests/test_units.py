@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from meshlark.errors import CandidateLimitError, CompactSetError, ContractError, DatasetError, DependencyError, ManifestError, TimeCubeError, UnknownDomainError
 from meshlark.functions import codec, constants as C, periods, profiles, projection, shapes, topology
-from meshlark.operators import aggregate as agg, compact, crosswalk, detect, encode, geometry as G, legacy, timecube
+from meshlark.operators import aggregate as agg, compact, crosswalk, detect, encode, geometry as G, legacy, services, timecube
 from meshlark.plans import sqlfuncs
-from meshlark.sources import datasets, tables
+from meshlark.sources import datasets, manifests, registry, tables
 
 
 def gid(level, x, y):
@@ -215,11 +215,28 @@ def test_period_join_relations(spark):
     assert [r["relation"] for r in timecube.period_join(a, a, ("month", None), ("month", None)).collect()] == ["equal", "equal"]
 
 
+def test_period_join_equals_all_pairs(spark):
+    """Every kind of period with every other, buckets that nest and such that don't, and labels that are no period."""
+    kinds = {("hour", 4): ["2024-01-31T00", "2024-01-31T04", "2024-02-01T20", "2024-02-01T21"], ("hour", 6): ["2024-01-31T00", "2024-01-31T06", "2024-02-01T18"], ("hour", 12): ["2024-01-31T12", "2024-02-01T12"], ("day", None): ["2024-01-31", "2024-02-30"], ("month", None): ["2024-01", "2024-02"], ("year", None): ["2024", "2023"]}
+    frames = {k: spark.createDataFrame([("H", p) for p in v], "gid string, period string") for k, v in kinds.items()}
+    at = {k: {r["period"]: (r["a"], r["b"]) for r in df.select("period", periods.start_of("period", *k).alias("a"), periods.end_of("period", *k).alias("b")).collect()} for k, df in frames.items()}
+    for one, left in kinds.items():
+        for two, right in kinds.items():
+            want = set()
+            for p in left:
+                for q in right:
+                    (a0, a1), (b0, b1) = at[one][p], at[two][q]
+                    if a0 and b0 and a0 < b1 and b0 < a1:
+                        kind = "equal" if (a0, a1) == (b0, b1) else "contains" if a0 <= b0 and b1 <= a1 else "contained" if b0 <= a0 and a1 <= b1 else "overlap"
+                        want.add((p, q, kind))
+            assert {tuple(r)[1:] for r in timecube.period_join(frames[one], frames[two], one, two).collect()} == want, (one, two)
+
+
 def test_crosswalk_contract(spark):
     rows = spark.createDataFrame([("a", "H4", 0.5), ("a", "H5", 0.5), ("b", "H4", 1.0)], "sumber_id string, gid string, bobot double")
-    doc = {"format_version": "1.0", "spec_version": "2.0", "domain_code": "ID", "level": 2, "weight_kind": "area", "source_description": "x", "registry_version": "1", "created_at": "2026-01-01T00:00:00Z"}
+    doc = {"format_version": "1.0", "spec_version": "2.0", "domain_code": "ID", "level": 2, "weight_kind": "luas", "source_description": "x", "registry_version": "1", "created_at": "2026-01-01T00:00:00Z"}
     assert crosswalk.validate(rows, doc) == {"sources": 2, "rows": 3, "cells": 2}
-    for change in ({"level": 15}, {"domain_code": "XX"}, {"created_at": "soon"}, {"format_version": "2"}):
+    for change in ({"level": 15}, {"domain_code": "XX"}, {"created_at": "soon"}, {"format_version": "2"}, {"weight_kind": "area"}, {"level": True}, {"registry_version": " "}):
         with pytest.raises(ContractError):
             crosswalk.validate(rows, doc | change)
     broken = spark.createDataFrame([("a", "H4", 0.5), ("a", "H4", 0.4), ("", "H", -1.0)], "sumber_id string, gid string, bobot double")
@@ -247,6 +264,137 @@ def test_shapes_read_and_measure():
         shapes.from_wkt("CIRCLE (1 2)")
 
 
+def test_tangled_shapes_count_an_area_once():
+    """Against a fine raster: parts that overlap, rings that cross themselves, holes of one part under another."""
+    box = lambda x0, y0, x1, y1: np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]], float)
+    bow = np.array([[0, 0], [4, 4], [4, 0], [0, 4], [0, 0]], float)
+    star = np.array([[math.cos(4 * math.pi * k / 5) * 5, math.sin(4 * math.pi * k / 5) * 5] for k in range(6)])
+    assert shapes.covered_area([[bow]]) == pytest.approx(8.0) and shapes.is_tangled([[bow]])
+    for parts in ([[box(0, 0, 4, 4)], [box(2, 2, 6, 6)]], [[bow], [box(1, 1, 5, 3)]], [[box(0, 0, 6, 6), box(1, 1, 3, 3)], [box(2, 2, 5, 5)]], [[star]]):
+        n = 600
+        t = (np.arange(n) + 0.5) / n * 14 - 6.5
+        x, y = np.meshgrid(t, t)
+        raster = shapes.covers_many(parts, x.ravel(), y.ravel()).sum() * (14 / n) ** 2
+        assert shapes.covered_area(parts) == pytest.approx(raster, rel=0.01)
+        assert sum(a for *_, a in G.polygon_cells([[r * 1000 for r in p] for p in parts], 10)) == pytest.approx(shapes.covered_area(parts) * 1e6, rel=1e-9)
+    assert not shapes.is_tangled([[box(0, 0, 1, 1)], [box(1, 0, 2, 1)]])
+    whole = G.polygon_cells([[box(0, 0, 1300, 700)]], 9)  # the way of boxes and the way of all polygons
+    assert whole == G.polygon_cells([[np.concatenate([box(0, 0, 1300, 700)[:1], [[650.0, 0.0]], box(0, 0, 1300, 700)[1:]])]], 9)
+
+
+def test_services(spark):
+    rows = spark.createDataFrame([("cell:v2:ID:H4", 1), ("cell:v2:ID:H5", 2), ("cell:v2:MY:H4", 3), ("cell:v2:ID:H", 4), ("x", 5), (None, 6)], "uri string, gid int")
+    near = services.neighbourhood(rows, "uri", 2, 1).collect()
+    assert {r["gid"] for r in near} == {1, 2, 3} and all(r["near_uri"] == f"cell:v2:{r['near_domain']}:{r['near_gid']}" for r in near)
+    assert len([r for r in near if r["gid"] == 1]) == 8 and services.neighbourhood(rows, "uri", 2, 1, kind="disk").count() == 27
+    with pytest.raises(ContractError):
+        services.neighbourhood(rows, "uri", 2, 1, kind="star")
+    other = rows.withColumn("b", F.lit("cell:v2:ID:H4"))
+    assert {r["gid"]: r["distance_m"] for r in services.distance(other, "uri", "b").collect()} == {1: 0.0, 2: 5_000_000.0, 3: None, 4: None, 5: None, 6: None}
+    with pytest.raises(Exception, match="one domain and level"):
+        services.distance(other, "uri", "b", mode="fail").collect()
+
+
+def test_table_to_cells(spark):
+    points = spark.createDataFrame([(1, 106.8456, -6.2088, "x"), (2, 110.0, -7.0, "y"), (3, 0.0, 0.0, "z"), (4, None, 1.0, None)], "id int, longitude double, latitude double, geometry string")
+    city = G.Boundary.read("POLYGON ((106 -7, 107.5 -7, 107.5 -6, 106 -6, 106 -7))", "ID", "EPSG:4326")
+    flagged = services.table_to_cells(points, "ID", 9, keep=["id"], boundary=city, geometry=True, crs="EPSG:4326").orderBy("id").collect()
+    assert [r["boundary_match"] for r in flagged] == [True, False, False, None] and flagged[0]["gid"] == "H2X545V39"
+    assert flagged[0]["geometry"].startswith("POLYGON ((106.8") and flagged[3]["geometry"] is None
+    kept = services.table_to_cells(points, "ID", 9, boundary=city, drop_outside=True)
+    assert kept.columns[:4] == points.columns and [r["id"] for r in kept.collect()] == [1]
+    assert sum(r["gid"] is None for r in services.table_to_cells(points, "ID", 9).collect()) == 2
+    with pytest.raises(ContractError):
+        services.table_to_cells(points, "ID", 9, x="longitude")
+    inside = encode.index_points(points, "longitude", "latitude", "ID", 9, boundary=city).orderBy("id").collect()
+    assert [r["gid"] for r in inside] == ["H2X545V39", None, None, None] and [r["latitude"] for r in inside][1] == -7.0
+    with pytest.raises(Exception, match="operational boundary"):
+        encode.index_points(points, "longitude", "latitude", "ID", 9, boundary=city, mode="fail").collect()
+
+
+def test_points_in_zones_equal_a_test_of_every_pair(spark):
+    rng = random.Random(9)
+    star = lambda: [[rng.uniform(0.3, 1) * 2000 * f(2 * math.pi * k / 9) for f in (math.cos, math.sin)] for k in range(9)]
+    zones = [(k, shapes.wkt_polygon(np.array([*(ring := star()), ring[0]]))) for k in range(6)] + [(6, "POLYGON ((0 0, 500 0, 500 500, 0 500, 0 0))"), (7, None)]
+    points = [(k, rng.uniform(-2000, 2000), rng.uniform(-2000, 2000)) for k in range(500)] + [(500, 0.0, 0.0), (501, 500.0, 500.0), (502, 250.0, 500.0), (503, None, 1.0)]
+    got = services.points_in_zones(spark.createDataFrame(points, "id int, x_m double, y_m double"), spark.createDataFrame(zones, "z int, g string"), "z", "g", "ID", 10)
+    want = {(i, z) for i, x, y in points if x is not None for z, g in zones if g and shapes.covers(shapes.parse(g)[1], x, y)}
+    rows = [(r["id"], r["z"]) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_crosswalk_from_polygons(spark):
+    make = lambda rows: crosswalk.from_polygons(spark.createDataFrame(rows, "s string, g binary"), "s", "g", "ID", 9)
+    ring = lambda x: shapes.wkb_polygon(np.array([[x, 0], [x + 1500, 0], [x + 1500, 1000], [x, 1000], [x, 0]], float))
+    rows = make([("a", ring(0.0)), ("b", ring(250.0))]).collect()
+    assert sorted((r["sumber_id"], round(r["bobot"], 6)) for r in rows) == [("a", 0.333333), ("a", 0.666667), ("b", 0.5), ("b", 0.5)]
+    flat = shapes.wkb_polygon(np.array([[0, 0], [5, 5], [0, 0]], float))
+    for bad, why in (([("a", ring(0.0)), ("a", ring(9.0))], "twice"), ([(" ", ring(0.0))], "no name"), ([("a", flat)], "no area"), ([("a", None)], "no area"), ([("a", ring(24_999_500.0))], "cover")):
+        with pytest.raises(Exception, match=why):
+            make(bad).collect()
+
+
+def test_registries(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "id.geojson").write_text("{}")
+    digest = hashlib.sha256(b"{}").hexdigest()
+    doc = {"domains": [{"domain_id": k, "domain_code": c, "name": c, "origin_x_m": -25e6, "origin_y_m": -25e6, "root_side_m": 5e7} for k, c in ((1, "ID"), (6, "MY"))]}
+    doc["profiles"] = [{"domain_id": k, "profile_version": "2.0", "crs_authority": "X", "min_level": 0, "max_level": 14, "boundary_file": "id.geojson", "boundary_sha256": digest} for k in (1, 6)]
+    doc["scale_metadata"] = [{"domain_id": k, "algorithm": "a", "sample_count": 300, "max_error_pct": 0.5} for k in (1, 6)]
+    source = tmp_path / "registry.json"
+    source.write_text(json.dumps(doc))
+    sha = hashlib.sha256(source.read_bytes()).hexdigest()
+    rows = sorted(map(tuple, registry.read_json(spark, str(source), sha, boundaries=str(tmp_path / "b")).collect()))
+    assert [r[1] for r in rows] == ["ID", "MY"]
+    target = str(tmp_path / "registry.db")
+    made = registry.migrate(str(source), target, sha)
+    assert sorted(map(tuple, registry.read_sqlite(spark, target, made).collect())) == rows
+    for wrong in (lambda: registry.read_json(spark, str(source), "0" * 64), lambda: registry.read_json(spark, str(source)), lambda: registry.read_sqlite(spark, target, verify=lambda data: False), lambda: registry.migrate(str(source), target, sha)):
+        with pytest.raises(ContractError):
+            wrong()
+    source.write_text(json.dumps(doc | {"profiles": doc["profiles"][:1]}))
+    with pytest.raises(ContractError, match="one to one"):
+        registry.read_json(spark, str(source), verify=lambda data: True)
+    (tmp_path / "b" / "id.geojson").write_text("changed")
+    with pytest.raises(ContractError, match="boundary"):
+        registry.read_sqlite(spark, target, made, boundaries=str(tmp_path / "b"))
+
+
+def test_manifests():
+    doc = datasets.new_manifest("ID", 9, [("n", "int64", "COUNT")])
+    assert manifests.check(doc, columns=["gid", "n"]) == doc
+    for section, key, value in (("identity", "gid_column", "id"), ("identity", "uri_prefix", "cell:v2:MY:"), ("identity", "x_idx_column", "x"), ("identity", "unique_gid", False), ("coverage", "boundary_policy", "NEAR"), ("coverage", "boundary_sha256", "AB"), ("coverage", "min_coverage", 1.5), ("source", "source_row_count", -1), ("storage", "geometry_column", "g"), ("storage", "parquet_compression", "lzo"), ("storage", "sorted_by", ["gid", "gid"]), ("provenance", "generator", ""), ("provenance", "value_semantics", "SUM"), ("provenance", "more", 1)):
+        with pytest.raises(ManifestError):
+            manifests.check(doc | {section: doc[section] | {key: value}})
+    counts = doc | {"storage": doc["storage"] | {"row_count": 5, "unique_cell_count": 4}}
+    for bad in (counts, doc | {"grid_version": "1.0"}, doc | {"domain_code": "id"}, doc | {"value_fields": []}, doc | {"value_fields": doc["value_fields"] * 2}, doc | {"value_fields": [doc["value_fields"][0] | {"semantics": "RANGE"}]}, 5):
+        with pytest.raises(ManifestError):
+            manifests.check(bad)
+    with pytest.raises(ManifestError, match="no column n"):
+        manifests.check(doc, columns=["gid"])
+    with pytest.raises(ManifestError, match="profile_version"):
+        manifests.check(doc, {"ID": {"domain_id": 1, "profile_version": "3.0"}})
+    assert manifests.check(doc, {"ID": {"domain_id": 1, "profile_version": "2.0", "boundary_sha256": "0" * 64}})
+
+
+def test_time_values_must_be_sorted(spark, tmp_path):
+    rows = spark.createDataFrame([("H2X545V39", f"2024-01-{d:02d}", 1.0) for d in range(1, 9)], "gid string, period string, v double")
+    path = f"file://{tmp_path}/t"
+    datasets.write_time_values(rows, path, "ID", 9, "day", "2024-01-01", "2025-01-01", [("v", "double", "TOTAL")])
+    assert datasets.read_time_values(spark, path)[0].count() == 8
+    rows.coalesce(1).orderBy(F.desc("period")).coalesce(1).write.mode("overwrite").parquet(f"{path}/data")
+    with pytest.raises(DatasetError, match="sorted"):
+        datasets.read_time_values(spark, path)
+
+
+def test_sql_polyfill(spark):
+    sqlfuncs.register_polyfill(spark)
+    rows = spark.sql("SELECT c.* FROM VALUES ('POLYGON ((0 0, 1500 0, 1500 1000, 0 1000, 0 0))'), (NULL) t(g), LATERAL cell_polyfill(g, 9) c").collect()
+    assert sorted(r["coverage_ratio"] for r in rows) == [0.5, 1.0] and {r["gid"] for r in rows} == {gid(9, 25000, 25000), gid(9, 25001, 25000)}
+
+
 def test_geometry_tables(spark):
     rows = [
         ("box", "POLYGON ((0 0, 2000000 0, 2000000 1000000, 0 1000000, 0 0))"),
@@ -324,6 +472,9 @@ def test_detection(spark):
     worse = df.withColumn("g", F.when(F.col("x_idx") < 4, "bad").otherwise(F.col("g")))
     r = {r[0]: r for r in detect.detect(worse)}["g"]
     assert r[2] == "rejected" and r[4] == 0.98 and r[8] == ["bad"] * 3
+    order = df.repartition(3, "g").withColumn("k", F.monotonically_increasing_id()).withColumn("g", F.when(F.col("k") % 50 == 7, F.concat(F.lit("bad"), "k")).otherwise(F.col("g")))
+    bad = [r["g"] for r in order.orderBy("k").collect() if r["g"].startswith("bad")]
+    assert len(bad) > 3 and {r[0]: r for r in detect.detect(order)}["g"][8] == bad[:3]  # the first of the input
     assert {r[0]: r[2] for r in detect.detect(df, domain="MY")}["u"] == "rejected"
 
 
