@@ -119,12 +119,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     spacing = max(64, docs.count() // RANGES)
     cuts = rows.filter(F.pmod(F.xxhash64("doc_id", "h"), F.lit(spacing)) == 0).agg(F.to_json(F.sort_array(F.collect_set(at))).alias("cuts"), F.count_distinct(at).alias("n")).first()
     table = F.from_json(F.lit(cuts["cuts"] or "[]"), f"array<struct<doc_id:{dict(docs.dtypes)['doc_id']},h:bigint>>")
-    found = F.lit(-1)
-    for step in (1 << k for k in reversed(range(cuts["n"].bit_length()))):
-        found = F.when(F.get(table, found + step) <= at, found + step).otherwise(found)
-        rows = rows.withColumn("place", found)
-        found = F.col("place")
-    rows = rows.withColumn("place", found.cast("int"))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, cuts["n"].bit_length())))))
+    step = lambda place, more: F.when(F.get(table, place + more) <= at, place + more).otherwise(place)
+    rows = rows.withColumn("place", F.aggregate(steps, F.lit(-1), step))
     first = rows.select("place", at.alias("at")).groupBy("place").agg(F.min("at").alias("first"))
     before = Window.orderBy("place")  # a row for each range
     every = before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
