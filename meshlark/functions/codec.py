@@ -125,6 +125,16 @@ def gid_to_cell(gid: Column | str) -> Column:
     return F.when(gid_level(g).isNotNull(), F.struct(F.length(g).alias("level"), scaled(x).alias("x_idx"), scaled(y).alias("y_idx")))
 
 
+def indices_of(gid: Column | str, level: int) -> tuple[Column, Column]:
+    """x_idx and y_idx of a valid gid of a given level."""
+    g, x, y = _col(gid), F.lit(0).cast("long"), F.lit(0).cast("long")
+    for i, step in enumerate(STEPS[:level]):
+        code = F.call_function("instr", F.lit(ALPHABETS[step]), F.substring(g, i + 1, 1)).cast("long") - 1
+        weight = COUNTS[level] // COUNTS[i + 1]
+        x, y = x + code % step * weight, y + F.floor(code / step).cast("long") * weight
+    return x, y
+
+
 def unpack(packed: Column | str, level: int) -> Column:
     """struct(domain_id, level, x_idx, y_idx) of a packed id of a given level; null if it isn't an exact one."""
     p = _col(packed)

@@ -102,17 +102,28 @@ def from_shares(shares: DataFrame, source: str, area: str, total: str, tolerance
 def from_polygons(polygons: DataFrame, source: str, geometry: str, domain: str, level: int, crs: str = "grid", tolerance: float = 1e-6) -> DataFrame:
     """sumber_id, gid, bobot from polygons (WKT, WKB or GeoJSON), one row a source: a cell's share of the polygon's area.
 
-    Fails where a source has no name or no area, comes twice, or isn't covered by the cells of the grid.
+    Fails where a source has no name or no area, comes twice, or isn't covered by the cells of the grid: all sources are
+    asked before the first row comes, so cells are written to the shared folder once and read from there.
     """
     from meshlark.operators.geometry import polygons_to_cells, shape_areas
+    from meshlark.sources.datasets import temporary
 
     named = polygons.select(F.col(source).cast("string").alias("_source"), F.col(geometry).alias("_shape"))
-    sized = shape_areas(named, "_shape", domain, crs, "_total")
-    good = (F.trim(F.col("_source")) != "") & (F.col("_total") > 0) & (F.col("_total") < float("inf"))
-    told = F.when(F.coalesce(good, F.lit(False)), F.col("_total")).otherwise(F.raise_error(F.lit("a source has no name or no area")).cast("double"))
-    totals = sized.groupBy("_source").agg(F.count(F.lit(1)).alias("_n"), F.max(told).alias("_total"))
-    once = F.when(F.col("_n") == 1, F.col("_total")).otherwise(F.raise_error(F.lit("a source comes twice")).cast("double"))
-    cells = polygons_to_cells(named, "_shape", domain, level, crs=crs, keep=["_source"])
-    shares = totals.select("_source", once.alias("_total")).join(cells.select("_source", "gid", "area"), "_source", "left")
-    whole = shares.withColumns({"area": F.coalesce("area", F.lit(0.0))})
-    return from_shares(whole, "_source", "area", "_total", tolerance)
+    totals = shape_areas(named, "_shape", domain, crs, "_total").groupBy("_source").agg(F.count(F.lit(1)).alias("_n"), F.max("_total").alias("_total"))
+    cells = polygons_to_cells(named, "_shape", domain, level, crs=crs, keep=["_source"]).select("_source", "gid", "area")
+    path = temporary(polygons.sparkSession, "shares")
+    totals.join(cells, "_source", "left").write.parquet(path)
+    shares = polygons.sparkSession.read.parquet(path)
+    size, held = F.first("_total"), F.coalesce(F.sum("area"), F.lit(0.0))
+    faults = {
+        "has no name": F.coalesce(F.trim("_source"), F.lit("")) == "",
+        "comes twice": F.col("n") > 1,
+        "has no area": ~F.coalesce((F.col("size") > 0) & (F.col("size") < float("inf")), F.lit(False)),
+        "isn't covered by cells": F.abs(F.col("held") / F.nullif(F.col("size"), F.lit(0.0)) - 1) > tolerance,
+    }
+    by_source = shares.groupBy("_source").agg(F.first("_n").alias("n"), size.alias("size"), held.alias("held"))
+    found = by_source.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(f"f{k}") for k, c in enumerate(faults.values()))).first()
+    bad = [f"{n} {why}" for n, why in zip(found, faults) if n]
+    if bad:
+        raise ContractError("sources that break the crosswalk's contract: " + ", ".join(bad))
+    return from_shares(shares.filter("area > 0"), "_source", "area", "_total", tolerance)

@@ -51,13 +51,16 @@ def _equal_area(d: Domain):
     return lambda x, y: projection.equal_earth(*projection.from_grid(d, x, y))
 
 
-def _box_cells(ring: np.ndarray, window: tuple[int, int, int, int], side: int) -> list[tuple[int, int, float, float]]:
+def box_cells(box: tuple[float, float, float, float], level: int, limit: int = LIMIT) -> list[tuple[int, int, float, float]]:
     """polygon_cells of a rectangle along the axes: the overlaps of both axes, multiplied."""
-    low, high = ring.min(0).tolist(), ring.max(0).tolist()
-    spans = []
-    for axis, (first, last) in enumerate(((window[0], window[2]), (window[1], window[3]))):
-        starts = [ORIGIN + k * side for k in range(first, last + 1)]
-        spans.append([(k, w) for k, s in zip(range(first, last + 1), starts) if (w := min(high[axis], s + side) - max(low[axis], s)) > 0])
+    side, n, spans, room = cell_side(level), cell_count(level), [], 1
+    for low, high in ((box[0], box[2]), (box[1], box[3])):
+        cells = range(max(0, math.floor((low - ORIGIN) / side)), min(n, math.ceil((high - ORIGIN) / side)))
+        room *= len(cells)
+        if room > limit:
+            raise CandidateLimitError(f"a shape has more than {limit} candidate cells")
+        starts = ((k, ORIGIN + k * side) for k in cells)
+        spans.append([(k, w) for k, s in starts if (w := min(high, s + side) - max(low, s)) > 0])
     return [(i, j, _ratio(w * h / side**2), w * h) for j, h in spans[1] for i, w in spans[0]]
 
 
@@ -73,7 +76,8 @@ def polygon_cells(parts: list, level: int, limit: int = LIMIT, equal_area: Domai
         return []
     side, out = cell_side(level), []
     if shapes.is_box(parts) and not equal_area and not touching:
-        return _box_cells(parts[0][0], window, side)
+        ring = parts[0][0]
+        return box_cells((*ring.min(0).tolist(), *ring.max(0).tolist()), level, limit)
     size = shapes.covered_area if shapes.is_tangled(parts) else shapes.area
     flat = _equal_area(equal_area) if equal_area else None
     for i in range(window[0], window[2] + 1):
@@ -156,8 +160,13 @@ def geometry_to_cells(df: DataFrame, geometry: str, domain: str, level: int, crs
     clash = set(kept) & {"domain", "level", "gid", "uri", "packed_id", "x_idx", "y_idx", "coverage_ratio", "length_ratio", "assignment_method", "boundary_policy"}
     kept = [c for c in kept if c not in clash]
     equal = d if coverage == "EQUAL_AREA" else None
+    plain = crs == "grid" and equal is None and boundary is None and not touching
 
     def cells(value) -> list[tuple]:
+        if plain and (box := shapes.box_of(value)):  # read and cut without arrays
+            found = [c for c in box_cells(box, level, limit) if c[2] > 0 and c[2] >= min_coverage]
+            total = sum(c[3] for c in found)
+            return [(i, j, a / total if of_source else v, None, a, "area") for i, j, v, a in found]
         kind, parts = in_grid(shapes.parse(value), d, crs)
         if kind == "point":
             out = []

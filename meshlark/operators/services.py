@@ -24,15 +24,22 @@ def neighbourhood(df: DataFrame, value: str, level: int, k: int, domain: str | N
     """
     if kind not in ("ring", "disk"):
         raise ContractError(f"a neighbourhood is a ring or a disk, not {kind!r}")
-    named = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{value}`").alias("value"))
-    cells = encode.describe(named, "value", domain, scheme).filter((F.col("level") == level) & F.col("domain").isNotNull())
-    near = topology.disk(cells.select("row", "domain", "x_idx", "y_idx"), "x_idx", "y_idx", level, k, ring=kind == "ring")
+    v = F.col(f"`{value}`")
+    uri, is_uri = codec.parse_uri(v, scheme), v.startswith(f"{scheme}:")
+    named = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.when(is_uri, uri["domain"]).otherwise(F.lit(domain)).alias("domain"), F.when(is_uri, uri["gid"]).otherwise(v).alias("gid"))
+    named = named.filter((F.length("gid") == level) & codec.gid_level("gid").isNotNull() & F.col("domain").isNotNull())
+    x, y = codec.indices_of("gid", level)
+    # a coalesce that changes no partition keeps reading and writing gids in generated methods of their own (see encode)
+    cells = named.select("row", "domain", x.alias("x_idx"), y.alias("y_idx")).coalesce(encode.MANY)
+    near = topology.disk(cells, "x_idx", "y_idx", level, k, ring=kind == "ring")
     if boundary is not None:
         placed = near.select("row", "domain", F.col("near_x").alias("x_idx"), F.col("near_y").alias("y_idx"))
         near = boundary.filter_cells(placed, level, predicate, min_coverage).withColumnsRenamed({"x_idx": "near_x", "y_idx": "near_y"})
-    gid = codec.gid_of("near_x", "near_y", level).alias("near_gid")
-    out = near.select("row.*", F.col("domain").alias("near_domain"), "near_x", "near_y", gid)
-    return out.withColumn("near_uri", F.concat(F.lit(f"{scheme}:v2:"), "near_domain", F.lit(":"), "near_gid"))
+    codes = {f"_code{n}": c for n, c in enumerate(codec.child_codes("near_x", "near_y", level))}
+    coded = near.select("row", "domain", "near_x", "near_y").coalesce(encode.MANY).withColumns(codes)
+    gid = codec.gid_from_codes([F.col(c) for c in codes], level).alias("near_gid")
+    out = coded.select("row", F.col("domain").alias("near_domain"), "near_x", "near_y", gid)
+    return out.select("row.*", "near_domain", "near_x", "near_y", "near_gid", codec.uri_of(F.col("near_domain"), "near_gid", scheme).alias("near_uri"))
 
 
 def distance(df: DataFrame, first: str, second: str, name: str = "distance_m", mode: str = "null", scheme: str = codec.URI_SCHEME) -> DataFrame:
