@@ -42,6 +42,8 @@ class ByteBpe:
             raise ValueError(f"{path} is no plain byte-level BPE")
         vocab = model["vocab"]
         self.size = max(vocab.values()) + 1
+        if any(t.get(flag) for t in spec["added_tokens"] for flag in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError(f"{path} has added tokens that take more than their own text")
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = max(self.size, *(i + 1 for i in special.values())) if special else self.size
         self.special = special

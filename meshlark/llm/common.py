@@ -30,9 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The same rows, written as Parquet in the shared folder and read back: lineage is cut and survives lost executors."""
+    """The same rows, written as Parquet in the shared folder and read back: lineage is cut and survives lost executors.
+
+    Tables lie in a folder of the application's name, which may go once the results that read them are written.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path

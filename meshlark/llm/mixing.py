@@ -12,7 +12,7 @@ Sources whose target is MOST times their words have no freedom: their rate is MO
 since it can be out of reach, as when every source is a single document.
 
 Rates become copies by systematic rounding along falling size, and the few words still missing are settled with single
-documents, one for each size class and direction, as long as that lessens what is missing. Equal rows are counted first and dealt out at the end, so that no task holds them all;
+documents, one for each size class and direction, as long as that lessens what is missing, and a last pair of them. Equal rows are counted first and dealt out at the end, so that no task holds them all;
 (source, size) classes of very many rows are split into lots.
 
 Native: DataFrame and SQL functions only. Defined results: a null or empty text has size 0 and takes 0 words (its row stays
@@ -155,7 +155,14 @@ def mixed_groups(docs: DataFrame, columns: list[str], weights: tuple[int, ...])
     state = F.struct(F.col("missing").alias("left"), used)
     use = lambda s, o: F.struct((s["left"] - o["delta"] * o["size"]).alias("left"), F.concat(s["used"], F.array(o)).alias("used"))
     step = lambda s, o: F.when(F.abs(s["left"] - o["delta"] * o["size"]) < F.abs(s["left"]), use(s, o)).otherwise(s)
-    settled = offers.select(F.explode(F.aggregate("offers", state, step)["used"]).alias("u"))
+    greedy = offers.select("offers", F.aggregate("offers", state, step).alias("s"))
+    # What single documents leave, the best pair of the other offers lessens further: one more of one, one less of another.
+    rest = F.filter("offers", lambda o: ~F.array_contains("s.used", o))
+    miss = lambda a, b: F.abs(F.col("s.left") - a["delta"] * a["size"] - b["delta"] * b["size"])
+    pair = F.array_min(F.transform("rest", lambda a: F.array_min(F.transform("rest", lambda b: F.struct(miss(a, b).alias("miss"), a.alias("a"), b.alias("b"))))))
+    paired = greedy.withColumn("rest", rest).withColumn("best", F.when(F.col("s.left") != 0, pair))
+    other = F.when((F.col("best.miss") < F.abs("s.left")) & (F.col("best.a") != F.col("best.b")), F.array("best.a", "best.b"))
+    settled = paired.select(F.explode(F.concat("s.used", F.coalesce(other, F.filter("rest", lambda o: o["size"] < 0)))).alias("u"))
     changes = settled.groupBy(F.col("u.who").alias("who")).agg(F.sum("u.delta").alias("change"))
     done = rounded.withColumn("who", F.struct("at", "key", "doc_id")).join(changes, "who", "left")
     return done.withColumn("total", F.col("total") + F.coalesce("change", F.lit(0))).drop("who", "change")

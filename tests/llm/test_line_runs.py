@@ -65,3 +65,37 @@ def test_odd_rows(spark):
     assert dict(got)[4] == "\n".join(f"line {k}" for k in range(5000))
     assert got.count((5, "")) == 2
     assert R.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_query_equals_brute_force_over_a_whole_table(spark):
+    """The registered query, all its columns."""
+    import hashlib
+
+    from meshlark.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    kept = brute(texts)
+    got = {r["doc_id"]: r for r in QUERIES["op3_line_chunks"](spark, sf).collect()}
+    assert got.keys() == texts.keys() and any(kept[i] != texts[i] for i in texts)
+    for i, r in got.items():
+        lines = texts[i].split("\n")
+        assert (r["kept_bytes"], r["kept_sha256"]) == (len(kept[i].encode()), hashlib.sha256(kept[i].encode()).hexdigest())
+        left = kept[i].split("\n") if kept[i] or len(lines) == 1 else []
+        assert r["n_lines"] == (len(lines) if texts[i] else r["n_lines"]) and r["n_removed"] == len(lines) - len(left) or not kept[i]
+
+
+def test_a_window_in_a_third_of_all_rows(spark, monkeypatch):
+    """Its places, and the copies of its run, are dealt over several tasks; the result is the same, without Python."""
+    monkeypatch.setattr("meshlark.llm.common.LEAST_HOT", 20)
+    rng = random.Random(3)
+    passage = [f"common line {k}" for k in range(4)]
+    docs = {}
+    for i in range(240):
+        lines = [f"own {i} {rng.random()}" for _ in range(6)]
+        if i % 3 == 0:
+            lines[rng.randrange(5) : 0] = passage
+        docs[i] = "\n".join(lines)
+    out = R.dedup_lines(table(spark, docs))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == brute(docs)
+    assert "Python" not in out._jdf.queryExecution().toString()

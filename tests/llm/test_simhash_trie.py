@@ -58,3 +58,20 @@ def test_odd_rows(spark):
     got = {(r["doc_id"], r["component_id"]) for r in S.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 4)}
     assert S.classes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_query_equals_brute_force_over_a_whole_table(spark, monkeypatch):
+    """Fingerprints by XXH64 and majority in plain Python, components by all pairs; equal texts dealt over several tasks."""
+    from meshlark.llm.queries import QUERIES
+
+    monkeypatch.setattr("meshlark.llm.common.LEAST_HOT", 2)
+    sf, fps = "/root/testdata/sf0.001", {}
+    lower = {c: c + 32 for c in range(65, 91)}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        w = [x for x in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in (r["text"] or "").translate(lower)).split(" ") if x]
+        shingles = [" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
+        h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+        fps[r["doc_id"]] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    want = brute(fps, 3)
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in QUERIES["op9_simhash_trie"](spark, sf).collect()}
+    assert got == {i: (f"{x:016x}", want[i]) for i, x in fps.items()}
