@@ -282,6 +282,28 @@ def test_tangled_shapes_count_an_area_once():
     assert whole == G.polygon_cells([[np.concatenate([box(0, 0, 1300, 700)[:1], [[650.0, 0.0]], box(0, 0, 1300, 700)[1:]])]], 9)
 
 
+def test_parts_that_are_boxes_are_read_and_cut_without_arrays(monkeypatch):
+    """Of random boxes that overlap, touch or lie apart: the cells are those of the general way, which cuts rings."""
+    rng, n = random.Random(4), lambda: rng.randrange(-30, 30) * 100 + rng.choice([0, 0.5])
+    ring = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+    cases = []
+    for _ in range(60):
+        boxes = [(x, y, x + rng.randrange(1, 20) * 100, y + rng.randrange(1, 20) * 100) for x, y in ((n(), n()) for _ in range(rng.randrange(2, 6)))]
+        text = "MULTIPOLYGON (" + ", ".join("((" + ", ".join(f"{x} {y}" for x, y in ring(*b)) + "))" for b in boxes) + ")"
+        general = [[np.array([*ring(*b)[:1], ((b[0] + b[2]) / 2, b[1]), *ring(*b)[1:]], float)] for b in boxes]  # one more point
+        cases.append((text, boxes, G.polygon_cells(general, 10)))
+    monkeypatch.setattr(shapes, "cut", lambda *_: pytest.fail("a box was cut as a ring"))
+    for text, boxes, want in cases:
+        assert shapes.boxes_of(text) == boxes
+        for got in (G.boxes_cells(boxes, 10), G.polygon_cells(shapes.parse(text)[1], 10)):
+            assert [c[:2] for c in got] == [c[:2] for c in want] and np.allclose([c[2:] for c in got], [c[2:] for c in want], rtol=1e-9)
+    assert shapes.boxes_of("MULTIPOLYGON (((0 0, 2 0, 2 2, 0 2, 0 0)), ((0 0, 4 0, 4 4, 0 0)))") is None
+    assert shapes.boxes_of("MULTIPOLYGON (((0 0, 2 0, 2 2, 0 2, 0 0)), ((0 0, 4 0, 5 4, 0 4, 0 0)))") is None
+    assert shapes.boxes_of("MULTIPOLYGON (((0 0, 9 0, 9 9, 0 9, 0 0), (1 1, 2 1, 2 2, 1 2, 1 1)))") is None
+    with pytest.raises(CandidateLimitError):
+        G.boxes_cells([(0, 0, 10, 10), (1e6, 1e6, 1e6 + 10, 1e6 + 10)], 10, limit=1000)
+
+
 def test_services(spark):
     rows = spark.createDataFrame([("cell:v2:ID:H4", 1), ("cell:v2:ID:H5", 2), ("cell:v2:MY:H4", 3), ("cell:v2:ID:H", 4), ("x", 5), (None, 6)], "uri string, gid int")
     near = services.neighbourhood(rows, "uri", 2, 1).collect()
