@@ -152,3 +152,71 @@ def test_hot_nodes_are_split(spark, monkeypatch):
         rows.append((1000 + k, " ".join(copy)))
     kept = N.keep_one(table(spark, rows)).collect()
     assert sum(r["doc_id"] < 1000 for r in kept) == 800 and sum(r["doc_id"] >= 1000 for r in kept) <= 4
+
+
+def family(rng, n):
+    """Texts about as alike as the threshold, so that exact similarity refutes many of the links that estimates propose."""
+    base = [f"b{k}" for k in range(300)]
+    rows = []
+    for k in range(n):
+        copy = list(base)
+        for at in rng.sample(range(300), rng.randrange(1, 13)):
+            copy[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(copy)))
+    return rows
+
+
+def partition(of):
+    by_group = {}
+    for i, g in of.items():
+        by_group.setdefault(g, set()).add(i)
+    return sorted(map(sorted, by_group.values()))
+
+
+def exact(rows):
+    up = {i: i for i, _ in rows}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and jaccard(a, b) >= 0.8:
+                up[root(i)] = root(j)
+    return partition({i: root(i) for i, _ in rows})
+
+
+def test_what_is_found_depends_on_no_number_of_texts():
+    assert N.plan(0.8) == (23, N.SHOWN) and N.plan(0.5)[0] > N.plan(0.9)[0]
+
+
+@pytest.mark.parametrize(("node_rows", "block"), [(500_000, 2_000_000), (20, 2_000), (7, 20_000)])
+def test_groups_are_the_components_of_exact_similarity(spark, monkeypatch, node_rows, block):
+    """Whatever nodes and blocks texts are dealt in; a refuted link of a forest hides none."""
+    monkeypatch.setattr(N, "NODE_ROWS", node_rows)
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", block, raising=False)
+    rows = family(random.Random(11), 120)
+    want = exact(rows)
+    got = partition({r["key"]["doc_id"]: r["group"] for r in N.near_groups(table(spark, rows)).collect()})
+    assert got == want and 60 < len(want) < 100
+
+
+def test_links_that_refuted_ones_hid_are_found():
+    """Five members are linked, the others aren't: what is alike among all of them is connected, without all pairs."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 40, 30).astype(np.int32)) for _ in range(60)]
+    like = lambda a, b: len(np.intersect1d(a, b)) >= 0.48 * len(np.union1d(a, b))
+    ids, labels = np.arange(100, 160), np.r_[[100] * 5, np.arange(105, 160)]
+    links = N.exact_links(ids, labels, 100, sets, labels != 100, 0.48)
+    assert all(like(sets[i - 100], sets[j - 100]) for i, j in links)
+    near = [(i, j) for i in range(60) for j in range(i) if like(sets[i], sets[j])]
+
+    def groups(pairs):
+        comp = np.arange(60)
+        for i, j in [(0, k) for k in range(1, 5)] + pairs:
+            comp[comp == comp[i]] = comp[j]
+        return partition(dict(enumerate(comp.tolist())))
+
+    assert groups(near) == groups([(i - 100, j - 100) for i, j in links]) and len(links) < len(near)
